@@ -1,6 +1,7 @@
 """The subpackage's registered queries, and their SQL where SQL can express them."""
 
 from sluice.llm.merkle import op7_fingerprints
+from sluice.llm.packing import op10_packing
 from sluice.llm.sharding import op8_sharding
 from sluice.llm.token_files import op9_token_files
 
@@ -8,5 +9,6 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
+    "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
