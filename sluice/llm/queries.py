@@ -3,11 +3,13 @@
 from sluice.llm.jaccard import op2_jaccard_join
 from sluice.llm.merkle import op7_fingerprints
 from sluice.llm.packing import op10_packing
+from sluice.llm.pii import op6_pii
 from sluice.llm.sharding import op8_sharding
 from sluice.llm.token_files import op9_token_files
 
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
+    "op6_pii": op6_pii,
     "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
