@@ -1,5 +1,6 @@
 """The subpackage's registered queries, and their SQL where SQL can express them."""
 
+from sluice.llm.decontaminate import op1_decontamination
 from sluice.llm.jaccard import op2_jaccard_join
 from sluice.llm.merkle import op7_fingerprints
 from sluice.llm.packing import op10_packing
@@ -9,6 +10,7 @@ from sluice.llm.token_files import op9_token_files
 from sluice.llm.warc import op4_warc
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
     "op4_warc": op4_warc,
     "op6_pii": op6_pii,
