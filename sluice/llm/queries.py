@@ -7,12 +7,14 @@ from sluice.llm.packing import op10_packing
 from sluice.llm.pii import op6_pii
 from sluice.llm.sharding import op8_sharding
 from sluice.llm.token_files import op9_token_files
+from sluice.llm.toxicity import op5_toxicity
 from sluice.llm.warc import op4_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
     "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
