@@ -5,6 +5,7 @@ from sluice.llm.jaccard import op2_jaccard_join
 from sluice.llm.merkle import op7_fingerprints
 from sluice.llm.packing import op10_packing
 from sluice.llm.pii import op6_pii
+from sluice.llm.quality import op3_quality
 from sluice.llm.sharding import op8_sharding
 from sluice.llm.token_files import op9_token_files
 from sluice.llm.toxicity import op5_toxicity
@@ -13,6 +14,7 @@ from sluice.llm.warc import op4_warc
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
