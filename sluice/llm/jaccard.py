@@ -343,5 +343,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents without their near copies: of each component the smallest doc_id stays, and of rows with that doc_id one.
+    Documents with a null doc_id stay. All columns are kept."""
+    found = jaccard_components(docs)
+    lost = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct(), "near-copies")
+    kept = docs.join(lost, docs["doc_id"].cast("long") == F.col("__lost"), "left_anti")
+    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text"))
+        kept = kept.withColumn("__k", F.when(F.col("doc_id").isNull(), 1).otherwise(first)).filter("__k = 1").drop("__k")
+    return kept
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(load(spark, sf_dir, "documents"))

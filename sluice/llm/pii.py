@@ -259,13 +259,11 @@ def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The same rows and columns, their texts masked and n_chars counted anew; a null text stays null."""
     weights = span_classifier(vote_counts(docs.select(F.coalesce("text", F.lit("")).alias("text"))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            new = [t if t is None else mask(t, joined(all_spans(t, weights, threshold)[1])) for t in batch["text"]]
-            batch["text"] = new
-            yield batch
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else mask(t, joined(all_spans(t, weights, threshold)[1])) for t in texts], dtype=object)
 
-    out = docs.mapInPandas(run, docs.schema)
+    out = docs.withColumn("text", masked("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -22,7 +22,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sluice.llm.common import load
 from sluice.llm.toxicity import fit_sample, held_out
@@ -208,20 +207,21 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, rows: int = FIT_ROWS):
     return net
 
 
-def score(docs: DataFrame, model, vectors) -> DataFrame:
-    """The input's columns and __score: the probability of quality 1."""
+def scorer(model, vectors):
+    """A column function: the probability of quality 1."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
         units = Units()
-        for batch in batches:
-            x = np.stack([pool(t, units, vectors.value) for t in batch["text"]]) if len(batch) else np.zeros((0, 4 * DIM + STATS))
-            yield batch.assign(__score=model.probability(x.astype(float)))
+        x = np.stack([pool(t, units, vectors.value) for t in texts]) if len(texts) else np.zeros((0, 4 * DIM + STATS))
+        return pd.Series(model.probability(x.astype(float)))
 
-    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField("__score", DoubleType(), False)]))
+    return run
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     vectors = spark.sparkContext.broadcast(word_vectors(context_sums(docs)))  # UNITS rows, whatever the input
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels, vectors), vectors)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    score = scorer(fit(docs, labels, vectors), vectors)
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

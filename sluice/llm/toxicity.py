@@ -24,7 +24,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sluice.llm.common import load
 
@@ -265,23 +264,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Gramm
     return grammar, logistic(np.array(got["x"].tolist()), y)
 
 
-def score(docs: DataFrame, grammar: Grammar, weights: np.ndarray) -> DataFrame:
-    """The input's columns and score: the probability that a text is toxic."""
+def scorer(grammar: Grammar, weights: np.ndarray):
+    """A column function: the probability that a text is toxic."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            z = np.array([features(grammar, t) for t in batch["text"]]).reshape(-1, FEATURES) @ weights
-            yield batch.assign(__score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        z = np.array([features(grammar, t) for t in texts]).reshape(-1, FEATURES) @ weights
+        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField("__score", DoubleType(), False)]))
+    return run
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
-    return score(docs, *fit(docs, labels)).filter(F.col("__score") < threshold).drop("__score")
+    return docs.filter(scorer(*fit(docs, labels))("text") < threshold)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
-    scored = score(docs.select("doc_id", "text"), *fit(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(*fit(docs, labels))("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
