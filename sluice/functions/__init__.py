@@ -1 +1 @@
-"""."""
+"""Column functions: text, dates, geography, links, similarity."""
