@@ -73,7 +73,7 @@ def html_to_text(c: Column) -> Column:
         c = F.regexp_replace(c, pattern, to)
     for entity, to in _ENTITIES.items():
         c = F.replace(c, F.lit(entity), F.lit(to))
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[ \x0B\f\r]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \x0B\f\r]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def trim_quoted(c: Column) -> Column:
