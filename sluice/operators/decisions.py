@@ -41,6 +41,38 @@ def snooze_until(asked: Column, now: Column, due: Column, days: int = 3) -> Colu
     return F.greatest(now, F.least(until, F.coalesce(due - F.make_dt_interval(days=F.lit(2)), until)))
 
 
+def apply_actions(opps: DataFrame, actions: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(opportunities after their actions, log of every action with before, after and whether it was applied).
+
+    Actions (id, at, action, value): status actions obey the state machine, snooze is clamped, assign and lock_field set their
+    columns, needs_info raises a flag. The actions of one opportunity are folded in order in one expression.
+    """
+    to_status = F.create_map(*[F.lit(x) for kv in K.ACTION_STATUS.items() for x in kv])
+    rows = F.array_sort(F.collect_list(F.struct("at", "action", "value")))
+    d = opps.join(actions.groupBy("id").agg(rows.alias("__acts")), "id", "left")
+    entry = "struct<at:timestamp,action:string,before:string,after:string,applied:boolean>"
+    start = F.struct(F.col("status").alias("status"), F.col("assignee").alias("assignee"), F.col("locked").alias("locked"), F.col("flags").alias("flags"), F.col("snooze_until").alias("snooze_until"), F.array().cast(f"array<{entry}>").alias("log"))
+
+    def step(s: Column, a: Column) -> Column:
+        to = F.try_element_at(to_status, a["action"])
+        ok = F.when(to.isNotNull(), allowed(s["status"], to)).otherwise(a["action"].isin("assign", "lock_field", "needs_info"))
+        after = F.when(ok & to.isNotNull(), to).otherwise(s["status"])
+        until = F.when(ok & (a["action"] == "snooze"), snooze_until(a["value"].try_cast("timestamp"), now.cast("timestamp"), F.col("bid_due").cast("timestamp"))).otherwise(s["snooze_until"])
+        log = F.struct(a["at"].cast("timestamp").alias("at"), a["action"].alias("action"), s["status"].alias("before"), after.alias("after"), F.coalesce(ok, F.lit(False)).alias("applied"))
+        return F.struct(
+            after.alias("status"), F.when(a["action"] == "assign", a["value"]).otherwise(s["assignee"]).alias("assignee"),
+            F.when(a["action"] == "lock_field", F.array_union(s["locked"], F.array(a["value"]))).otherwise(s["locked"]).alias("locked"),
+            F.when(a["action"] == "needs_info", F.array_union(s["flags"], F.array(F.lit("needs_info")))).otherwise(s["flags"]).alias("flags"),
+            until.alias("snooze_until"), F.concat(s["log"], F.array(log)).alias("log"),
+        )
+
+    none = F.array().cast("array<struct<at:timestamp,action:string,value:string>>")
+    d = d.withColumn("__s", F.aggregate(F.coalesce("__acts", none), start, step))
+    changed = ("status", "assignee", "locked", "flags", "snooze_until")
+    after = d.select(*[F.col(f"__s.{c}").alias(c) if c in changed else F.col(c) for c in opps.columns])
+    return after, d.select("id", F.explode("__s.log").alias("e")).select("id", "e.*")
+
+
 def signed(secret: bytes):
     """A column function: v1.payload.signature of a text."""
 

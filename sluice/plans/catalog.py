@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import constants as K
 from sluice.functions import dates, geo, links, similarity, text
-from sluice.operators import curation, decisions, digest, directory, evaluation, ingest, merge, resolve
+from sluice.operators import curation, decisions, digest, directory, evaluation, extract, ingest, merge, resolve
 from sluice.operators import score as scoring
 from sluice.plans.views import EVENTS_NOW_TEXT, NOW_SQL, OPPORTUNITIES, SCORED, events_now, now, opportunities
 from sluice.sources.tables import load
@@ -539,3 +539,62 @@ def parsed_dates(spark, sf_dir):
     value = F.date_format("bid_due", "yyyy-MM-dd")
     d = opportunities(spark, sf_dir).select("id", dates.parse_local(F.when(F.col("id") % 2 == 0, F.concat(value, F.lit("T14:30"))).otherwise(value), F.lit("UTC"), now().cast("timestamp")).alias("p"))
     return d.select("id", F.from_utc_timestamp(F.to_utc_timestamp("p.ts", F.current_timezone()), "UTC").cast("timestamp_ntz").alias("at"), "p.time_known")
+
+
+# ---------------------------------------------------------------- extraction
+
+
+@query("WITH a AS (SELECT conv_id AS message_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN role = 'user' THEN 0 ELSE 1 END, turn, text) AS k FROM conversations) SELECT message_id, count(*) AS attachments, sum(CASE WHEN length(text) <= 12000 THEN length(text) ELSE 12007 END)::BIGINT AS chars FROM a WHERE k <= 4 GROUP BY 1")
+def extraction_inputs(spark, sf_dir):
+    (c,) = load(spark, sf_dir, "conversations")
+    files = c.select(F.col("conv_id").alias("message_id"), F.when(F.col("role") == "user", "scope.txt").otherwise("other.txt").alias("filename"), F.struct("turn", "text").alias("position"), "text")
+    d = extract.assemble(c.select(F.col("conv_id").alias("message_id")).distinct(), files)
+    return d.select("message_id", F.size("attachments").cast("long").alias("attachments"), F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + F.length(a["text"])).alias("chars"))
+
+
+@query(f"WITH {OPPORTUNITIES} SELECT id, id % 3 = 1 AS late, CASE WHEN id % 3 = 1 THEN 0.3 ELSE 0.9 END AS confidence, CASE WHEN id % 2 = 0 THEN NULL ELSE name END AS gc_name FROM opp")
+def extraction_postprocess(spark, sf_dir):
+    o = opportunities(spark, sf_dir)
+    d = o.select("id", (F.col("bid_due") + F.make_dt_interval(days=F.when(F.col("id") % 3 == 1, 3).otherwise(-3))).alias("sent_at"), "bid_due", F.lit(0.9).alias("bid_due_confidence"), F.lit(None).cast("boolean").alias("prebid_mandatory"), F.when(F.col("id") % 4 == 0, "Procore").otherwise(F.col("name")).alias("gc_name"), F.when(F.col("id") % 4 == 2, "mail.planhub.com").alias("gc_domain"), "flags", F.lit("").alias("summary"), F.lit("scope").alias("scope_text"))
+    return extract.postprocess(d).select("id", F.array_contains("flags", "past_due_at_receipt").alias("late"), F.col("bid_due_confidence").alias("confidence"), "gc_name")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'exact' WHEN c_custkey % 3 = 1 THEN 'city' END AS precision FROM customer")
+def geocode_cascade(spark, sf_dir):
+    (c,) = load(spark, sf_dir, "customer")
+    d = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("street"), F.when(F.col("c_custkey") % 3 < 2, "City").alias("city"), F.lit("PA").alias("state"), F.lit("nowhere").alias("raw"))
+    streets = d.filter("street is not null").select(F.lower(F.concat_ws(", ", "street", "city", "state")).alias("query"))
+    cache = streets.union(d.select(F.lit("city, pa").alias("query")).distinct()).withColumns({"lat": F.lit(40.0), "lon": F.lit(-80.0)})
+    return extract.geocode(d, cache).select("id", "precision")
+
+
+@query("WITH l AS (SELECT user_id AS message_id, arg_max(event_type, event_id) AS t, count(*) AS attempts FROM events GROUP BY 1) SELECT message_id, attempts, CASE WHEN t = 'view' THEN 'done' WHEN t = 'signup' THEN 'failed' WHEN attempts >= 24 THEN 'failed' ELSE 'retrying' END AS status FROM l")
+def extraction_status(spark, sf_dir):
+    (e,) = load(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    outcome = F.when(F.col("event_type") == "view", "done").when(F.col("event_type") == "signup", "refusal").otherwise("error")
+    d = e.select(F.col("user_id").alias("message_id"), F.row_number().over(w).cast("long").alias("attempt"), outcome.alias("outcome"))
+    return extract.status(d).select("message_id", "attempts", "status")
+
+
+@query(f"WITH x AS (SELECT user_id, max(event_id) AS e FROM events GROUP BY 1) SELECT user_id AS message_id FROM events JOIN x USING (user_id) WHERE event_id = e AND event_type <> 'view' AND ts >= TIMESTAMP '{EVENTS_NOW_TEXT}' - INTERVAL 30 DAY ORDER BY ts DESC, user_id LIMIT 200")
+def stale_extractions(spark, sf_dir):
+    (e,) = load(spark, sf_dir, "events")
+    d = e.select(F.col("user_id").alias("message_id"), F.col("event_id").alias("version"), F.col("ts").alias("created_at"), F.col("event_type").alias("prompt"))
+    return extract.stale(d, "view", events_now()).select("message_id")
+
+
+@query(f"WITH {OPPORTUNITIES} SELECT 'kind' AS measure, bid_type AS key, count(*) AS n FROM opp GROUP BY 2 UNION ALL SELECT 'flag', 'open_shop_indicated', count(*) FROM opp WHERE open_shop UNION ALL SELECT 'flag', 'union_required', count(*) FROM opp WHERE union_required UNION ALL SELECT 'flag', 'sustainability', count(*) FROM opp WHERE sustainability UNION ALL SELECT 'due', 'known', count(*) FROM opp")
+def corpus_report(spark, sf_dir):
+    return extract.corpus_report(opportunities(spark, sf_dir).withColumn("kind", F.col("bid_type")))
+
+
+@query()
+def apply_actions(spark, sf_dir):
+    o = opportunities(spark, sf_dir).select("id", "status", "bid_due", "flags", F.lit(None).cast("string").alias("assignee"), F.array().cast("array<string>").alias("locked"), F.lit(None).cast("timestamp").alias("snooze_until"))
+    verbs = ["bid", "snooze", "assign", "submit", "won", "lock_field", "reopen", "needs_info"]
+    (li,) = load(spark, sf_dir, "lineitem")
+    acts = li.select(F.col("l_orderkey").alias("id"), (now().cast("timestamp") + F.make_dt_interval(hours=F.col("l_linenumber"))).alias("at"), F.element_at(F.array(*map(F.lit, verbs)), ((F.col("l_partkey") + F.col("l_linenumber")) % 8 + 1).cast("int")).alias("action"), F.lit("bid_due").alias("value"))
+    after, log = decisions.apply_actions(o, acts, now())
+    done = log.groupBy("id").agg(F.count("*").alias("actions"), F.count_if("applied").alias("applied"))
+    return after.join(done, "id", "left").select("id", "status", "assignee", F.size("locked").alias("locked"), "actions", "applied")
