@@ -227,4 +227,4 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = new_dir(spark, "warc")
     write_warcs(load(spark, sf_dir, "pages"), uri)
     runs = materialize(index_runs(spark, uri), "warc-runs")
-    return merge_runs(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "part", "seq")
+    return merge_runs(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
