@@ -31,9 +31,18 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return uri
 
 
+def bound_batches(spark: SparkSession, size: int = 16 << 20, rows: int = 2_000) -> None:
+    """Python tasks take rows in batches of at most this size; a setting that is smaller already stays."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.execution.arrow.maxRecordsPerBatch", rows)):
+        now = str(spark.conf.get(key)).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df in the shared folder and read it again: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
+    bound_batches(spark)
     uri = f"{new_dir(spark, label)}/data"
     writer = df.write
     if partition_by:
@@ -54,13 +63,14 @@ def write_bytes(uri: str, data: bytes) -> None:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 class WordHash(dict):
     """word -> signed 64-bit hash, kept for the words seen so far; bounded, as it starts afresh when full."""
 
-    def __init__(self, normal=None, most: int = 400_000):
+    def __init__(self, normal=None, most: int = 150_000):
         super().__init__()
         self.normal, self.most = normal, most
 

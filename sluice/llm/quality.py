@@ -49,7 +49,7 @@ class Units(dict):
     """raw word -> word unit and shape unit in one integer; bounded."""
 
     def __missing__(self, raw: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         left, core, right = _CORE.match(raw.decode("utf-8", "surrogatepass")).groups()
         case = "d" if core.isdigit() else "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "l" if core.islower() else "m" if core else "-"

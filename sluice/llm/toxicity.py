@@ -130,7 +130,7 @@ class Grammar:
         if w > 0:
             self.weights[raw] = w
         s |= CLAUSE_END * raw.rstrip(b"\"')]*&%$#").endswith(_ENDS)
-        if len(self.symbols) > 400_000:
+        if len(self.symbols) > 150_000:
             self.symbols.clear()
         self.symbols[raw] = s
         return s
