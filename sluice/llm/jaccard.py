@@ -6,7 +6,8 @@ hashes of the tokens that fall there: the parity of a very wide bit sketch, part
 difference changes one part at most, so of two linked sets all but d = floor((a + b) / 9) parts agree, and a set with more
 than d non-empty parts shares one with each of its partners (pigeonhole). Parts meet by equality of (band, part, value).
 
-* A value that few sets share gives all their pairs. A value that many share is hot: its members pair with one pivot only.
+* A value that few sets share gives all their pairs. A value that many share is hot: its members pair with one pivot only, and
+  only pairs that many hot values bring together are tried, as near copies share most of their values.
   Tasks do the same to values that are hot among their own rows before the shuffle, so no key carries many rows.
 * Pairs pass the size test, then the Hamming distance of folded bit sketches, which never exceeds the symmetric
   difference; then the shingles of both texts decide.
@@ -33,8 +34,12 @@ from pyspark.sql import functions as F
 from sluice.llm.common import WordHash, components, load, materialize, mix64
 
 WORDS = 5
-HOT = 12  # sets that may share a value and still give all their pairs
-FLUSH = 1_500_000  # keys a task holds before it deals them out
+HOT = 20  # sets that may share a value and still give all their pairs
+# Hot values that must bring a set and a pivot together: so many, and this share of a set's parts. Linked sets share more than
+# half of theirs as a rule. No link depends on this, as left-over sets meet by their shingles; it saves trying other pairs.
+PIVOT_VALUES, PIVOT_SHARE = 4, 0.25
+FLUSH = 700_000  # keys a task holds before it deals them out
+_PAIRS = 500_000  # pairs made at once
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WORDS)]
 
 
@@ -71,6 +76,12 @@ def parts_of_band(band: int) -> int:
     return int(0.48 * BANDS[band]) + 16
 
 
+def usual_parts(band: int) -> float:
+    """Non-empty parts of the band's smallest sets, on average."""
+    k = parts_of_band(band)
+    return k * -np.expm1(-float(BANDS[band]) / k)
+
+
 def band_keys(s: np.ndarray, band: int) -> np.ndarray:
     """A key for each non-empty part; the band is its lowest six bits."""
     k = np.uint64(parts_of_band(band))
@@ -118,9 +129,22 @@ def _batch(types: dict, rows: int, /, **cols) -> pa.RecordBatch:
 
 def _pairs(kind: str, a: np.ndarray, b: np.ndarray) -> dict:
     """Distinct pairs of different documents, the smaller first."""
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-    both = both[both[:, 0] != both[:, 1]]
-    return {"kind": [kind] * len(both), "a": both[:, 0], "b": both[:, 1]}
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    lo, hi = lo[lo != hi], hi[lo != hi]
+    order = np.lexsort((hi, lo))
+    lo, hi = lo[order], hi[order]
+    starts = np.flatnonzero(np.concatenate(([True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))) if len(lo) else np.empty(0, np.int64)
+    return {"kind": [kind] * len(starts), "a": lo[starts], "b": hi[starts]}
+
+
+def _pivot_pairs(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict:
+    """Distinct pairs of a pivot and a member by band, with how many hot values each shares here."""
+    lo, hi, band = np.minimum(a, b), np.maximum(a, b), (keys & np.uint64(63)).astype(np.int64)
+    keep = lo != hi
+    order = np.lexsort((band[keep], hi[keep], lo[keep]))
+    lo, hi, band = lo[keep][order], hi[keep][order], band[keep][order]
+    starts = np.flatnonzero(np.concatenate(([True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (band[1:] != band[:-1])))) if len(lo) else np.empty(0, np.int64)
+    return {"kind": ["q"] * len(starts), "a": lo[starts], "b": hi[starts], "c": np.diff(np.append(starts, len(lo))), "d": band[starts]}
 
 
 def _hot_rows(keys: np.ndarray, docs: np.ndarray) -> dict:
@@ -140,7 +164,7 @@ def _deal(keys: np.ndarray, docs: np.ndarray, buckets: int) -> tuple[list[dict],
     head = np.zeros(len(keys), bool)
     head[starts] = True
     pivots = np.repeat(docs[starts], counts)
-    rows = [_hot_rows(keys[hot], docs[hot]), _pairs("p", pivots[hot & ~head], docs[hot & ~head])]
+    rows = [_hot_rows(keys[hot], docs[hot]), _pivot_pairs(keys[hot & ~head], pivots[hot & ~head], docs[hot & ~head])]
     stay = ~hot | head
     keys, docs, hot = keys[stay], docs[stay], hot[stay]
     bucket = ((keys >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
@@ -158,12 +182,14 @@ def _deal(keys: np.ndarray, docs: np.ndarray, buckets: int) -> tuple[list[dict],
 
 
 def sketch_rows(docs: DataFrame) -> DataFrame:
-    """Rows of five kinds, written: m (doc, size, fingerprint, bit sketch), k (doc, band, non-empty parts, parts needed),
-    p and r (pairs: with the pivot, and the rest), h (hot value, doc)."""
+    """Rows of six kinds, written: m (doc, size, fingerprint, bit sketch), k (doc, band, non-empty parts, parts needed),
+    p and r (pairs by values that aren't hot: with the pivot, and the rest), q (pairs with the pivot of a hot value), h (hot value, doc)."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = partitions * 8
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         hashes = WordHash()
         keys, owners, size, turn = [], [], 0, 0
 
@@ -171,7 +197,8 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
             nonlocal turn
             turn += 1
             n = len(rows["a"])
-            return _batch(_KEY_TYPES | _TYPES, n, bucket=np.full(n, turn * 7919 % buckets), **rows)
+            bucket = (TaskContext.get().partitionId() * 104_729 + turn * 7_919 + np.arange(n) // 256) % buckets  # spread, to be passed on
+            return _batch(_KEY_TYPES | _TYPES, n, bucket=bucket, **rows)
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows, dealt = _deal(np.concatenate(keys), np.concatenate(owners), buckets)
@@ -203,6 +230,10 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
         if keys:
             yield from flush()
 
+    def send(rows: dict) -> Iterator[pa.RecordBatch]:
+        if len(rows["a"]):
+            yield _batch(_TYPES, len(rows["a"]), **rows)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, hots = [], [], []
         for batch in batches:
@@ -222,18 +253,17 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
         counts = np.diff(np.append(starts, len(keys)))
         shared = np.repeat(counts > 1, counts)
         starts_hot = np.logical_or.reduceat(hots, starts) | (counts > HOT)
-        out = np.repeat(starts_hot, counts) & ~hots  # those with the mark have had their members' rows written
+        all_hot = np.repeat(starts_hot, counts)
+        out = all_hot & ~hots  # those with the mark have had their members' rows written
         pivot = np.repeat(np.minimum.reduceat(docs, starts), counts)
-        made = [_pairs("p", pivot[shared], docs[shared]), _hot_rows(keys[out], docs[out])]
+        for rows in (_pairs("p", pivot[shared & ~all_hot], docs[shared & ~all_hot]), _pivot_pairs(keys[shared & all_hot], pivot[shared & all_hot], docs[shared & all_hot]), _hot_rows(keys[out], docs[out])):
+            yield from send(rows)
         for g in range(3, HOT + 1):
             at = starts[(counts == g) & ~starts_hot]
-            if len(at):
-                members = docs[at[:, None] + np.arange(g)]
-                i, j = np.triu_indices(g, 1)
-                made.append(_pairs("r", members[:, i].ravel(), members[:, j].ravel()))
-        for rows in made:
-            if len(rows["a"]):
-                yield _batch(_TYPES, len(rows["a"]), **rows)
+            i, j = np.triu_indices(g, 1)
+            for k in range(0, len(at), _PAIRS // len(i)):
+                members = docs[at[k : k + _PAIRS // len(i), None] + np.arange(g)]
+                yield from send(_pairs("r", members[:, i].ravel(), members[:, j].ravel()))
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, f"{_KEYS}, {_OUT}")
     return materialize(dealt.repartition(partitions, "bucket").mapInArrow(meet, _OUT), "jaccard-sketches")
@@ -292,10 +322,13 @@ def _leftover_links(left: DataFrame, docs: DataFrame, labels: DataFrame, meta: D
     tokens = materialize(tokens, "jaccard-tokens")
     seen = tokens.groupBy("token").agg(F.count("*").alias("df"), (F.min("component") != F.max("component")).alias("many"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token"))
-    first = tokens.join(seen, "token").withColumn("k", rank).filter("k <= n - ceil(0.8 * n) + 1 and many").select("doc_id", "component", "n", "token")
-    x = first.select("token", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    y = first.select("token", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    pairs = x.join(y, "token").filter("a < b and ca <> cb and 100 * least(na, nb) >= 80 * greatest(na, nb)").select("a", "b").distinct()
+    first = tokens.join(seen, "token").withColumn("k", rank).filter("k <= n - ceil(0.8 * n) + 1 and many").select("doc_id", "component", "n", "token", "k")
+    prefix = first.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda t: t["token"]).alias("prefix"))
+    first = first.drop("k").join(prefix, "doc_id")
+    x = first.select("token", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+    y = first.select("token", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    meet = "a < b and ca <> cb and 100 * least(na, nb) >= 80 * greatest(na, nb) and element_at(array_intersect(pa, pb), 1) = x.token"  # a pair once, at its first
+    pairs = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(meet)).select("a", "b").distinct()
     return _linked(_close(pairs, meta), texts)
 
 
@@ -314,8 +347,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         out = pairs.select("a", "b").distinct().join(r("a"), "a").join(r("b"), "b")
         return out.select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b")).filter("a <> b").distinct()
 
+    least = F.array(*[F.lit(max(PIVOT_VALUES, int(PIVOT_SHARE * usual_parts(b)))) for b in range(len(BANDS))])
+    pivots = of("q").groupBy("a", "b", "d").agg(F.sum("c").alias("n")).filter(F.col("n") >= F.element_at(least, (F.col("d") + 1).cast("int")))
+    stars = of("p").select("a", "b").unionByName(pivots.select("a", "b"))
     close = materialize(
-        _close(of_reps(of("p")), meta).withColumn("star", F.lit(True)).unionByName(_close(of_reps(of("r")), meta).withColumn("star", F.lit(False))), "jaccard-close"
+        _close(of_reps(stars), meta).withColumn("star", F.lit(True)).unionByName(_close(of_reps(of("r")), meta).withColumn("star", F.lit(False))), "jaccard-close"
     )
     texts = _texts(docs, close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     links = materialize(same.unionByName(_linked(close.filter("star").select("a", "b"), texts)), "jaccard-links")
