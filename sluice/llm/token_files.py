@@ -27,6 +27,8 @@ MAGIC = b"S8BTOKS1"
 COUNT = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTH = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 ESCAPE = 15
+_LIMITS = np.uint64(1) << WIDTH.astype(np.uint64)
+_NEED = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.int8)  # narrowest selector of small ids
 BLOCK_IDS = 1 << 14
 FILE_IDS = 4_000_000
 
@@ -37,43 +39,46 @@ def pack_words(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if n == 0:
         return np.empty(0, "<u8")
-    need = np.full(n, len(WIDTH), np.uint8)  # the narrowest selector that an id fits; none: escape
-    for s in range(len(WIDTH) - 1, -1, -1):
-        need[ids < np.uint64(1) << np.uint64(WIDTH[s])] = s
-    step = np.ones(n, np.int64)
-    sel = np.where(need == len(WIDTH), ESCAPE, len(WIDTH) - 1).astype(np.int64)
-    widest = need.astype(np.int8)
-    span, top = 1, widest.copy()  # top[i]: the widest need of ids i .. i + span - 1, ids past the end need nothing
+    small = ids < np.uint64(len(_NEED))
+    if small.all():
+        need = _NEED[ids.astype(np.intp)]
+    else:
+        need = np.searchsorted(_LIMITS, ids, "right").astype(np.int8)  # len(WIDTH) where only an escape holds the id
+    sel = np.where(need == len(WIDTH), ESCAPE, len(WIDTH) - 1).astype(np.int8)
+    step = np.ones(n, np.int8)
+    span, top = 1, need.copy()  # top[i]: the widest need of ids i .. i + span - 1, ids past the end need nothing
     for s in range(len(WIDTH) - 2, -1, -1):
         while span < COUNT[s]:
             grow = int(min(span, COUNT[s] - span))
             if grow < n:
-                top[: n - grow] = np.maximum(top[: n - grow], top[grow:].copy())
+                top[: n - grow] = np.maximum(top[: n - grow], top[grow:])
             span += grow
         fits = top <= s
         if not fits.any():
             break
-        sel[fits], step[fits] = s, COUNT[s]
+        np.putmask(sel, fits, np.int8(s))
+        np.putmask(step, fits, np.int8(COUNT[s]))
     jumps, at = step.tolist(), 0
     starts = []
     while at < n:
         starts.append(at)
         at += jumps[at]
     starts = np.array(starts, np.int64)
-    chosen = sel[starts]
+    chosen = sel[starts].astype(np.int64)
     long = chosen == ESCAPE
     place = np.arange(len(starts)) + np.concatenate(([0], np.cumsum(long)[:-1]))
     words = np.zeros(len(starts) + int(long.sum()), np.uint64)
+    padded = np.concatenate((ids, np.zeros(int(COUNT[0]), np.uint64)))
     for s in np.unique(chosen):
         rows = np.flatnonzero(chosen == s)
         if s == ESCAPE:
             words[place[rows]] = np.uint64(ESCAPE) << np.uint64(60)
             words[place[rows] + 1] = ids[starts[rows]]
             continue
-        cols = starts[rows][:, None] + np.arange(COUNT[s])
-        vals = np.where(cols < n, ids[np.minimum(cols, n - 1)], np.uint64(0))
-        shifts = (np.arange(COUNT[s]) * WIDTH[s]).astype(np.uint64)
-        words[place[rows]] = (np.uint64(s) << np.uint64(60)) | np.bitwise_or.reduce(vals << shifts, axis=1)
+        word = np.full(len(rows), np.uint64(s) << np.uint64(60), np.uint64)
+        for j in range(int(COUNT[s])):
+            word |= padded[starts[rows] + j] << np.uint64(j * int(WIDTH[s]))
+        words[place[rows]] = word
     return words.astype("<u8")
 
 
