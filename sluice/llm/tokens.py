@@ -13,93 +13,111 @@ import numpy as np
 
 _TWO_SPACES = re.compile(r"\s\s")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 END_ID = 2
 
 
+def _lowered(text: str) -> str:
+    """In lower case, as the vocabulary does it later, where letters are ASCII or Latin-1 and so change one by one."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write each byte as a printable letter: printable ones as themselves, the others from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     return {b: chr(b) if b in plain else chr(256 + sum(x not in plain for x in range(b))) for b in range(256)}
 
 
+class Pieces(dict):
+    """piece -> its ids. Full, it becomes the older half, from which pieces still in use come back."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, piece):
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """Little-endian unsigned 32-bit ids of whole texts. kind: "word" (white space is dropped) or "byte" (it counts)."""
 
-    def __init__(self, path: str, kind: str, most: int = 1_000_000):
+    def __init__(self, path: str, kind: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.kind, self.most = kind, most
-        self.cache: dict = {}
-        self.first: dict = {}
+        self.kind = kind
         self.letters = _byte_letters()
-
-    def _word(self, letters: str) -> bytes:
-        """Ids of one word as the vocabulary cuts it: letters only, or one mark, with the space before it."""
-        if letters.isascii():
-            seen = letters.replace(" ", self.letters[32]).replace("\n", self.letters[10])
+        self.space, self.feed = self.letters[32], self.letters[10]
+        self.marks = Pieces(self._ids, 10_000)
+        if kind == "word":
+            self.first = self.rest = Pieces(self._word_piece, most)
         else:
-            seen = letters.encode("utf-8").decode("latin-1").translate(self.letters)
+            self.first, self.rest = Pieces(self._first_piece, most // 8), Pieces(self._byte_piece, most)
+
+    def _ids(self, seen: str) -> bytes:
+        """Ids of one word as the vocabulary cuts it, written in its letters."""
         ids = [t.id for t in self.model.tokenize(seen)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _plain(self, s: str, lead: str) -> bytes | None:
-        """Ids of Latin letters with at most one mark behind, None for all else."""
-        mark = s[-1:] if s[-1:] in (",", ".", "!", "?", ";", ":") else ""
-        core = s[: len(s) - len(mark)]
-        if self.kind == "word":
-            core = core.lower()
-        if not core.isalpha() or not core.isascii() and max(core) >= "ɐ":
+        """Ids of Latin letters with ASCII marks behind, None for all else; lead: the space before, as the vocabulary writes it."""
+        core = s.rstrip(_ASCII_MARKS)
+        if not core.isalpha():
             return None
-        return self._word(lead + core) + (self._word(mark) if mark else b"")
-
-    def _fill(self, cache: dict, keys: set, lead: str) -> None:
-        odd = []
-        for k in keys:
-            s = k.decode("utf-8", "surrogatepass") if isinstance(k, bytes) else k
-            if s[:1] == "\n" and lead:
-                ids = self._plain(s[1:], "")
-                ids = None if ids is None else self._word("\n") + ids
-                whole = s
-            else:
-                ids, whole = self._plain(s, lead), lead + s
-            if ids is None:
-                odd.append((k, whole))
-            else:
-                cache[k] = ids
-        if odd:
-            for (k, _), e in zip(odd, self.tokenizer.encode_batch_fast([s for _, s in odd], add_special_tokens=False)):
-                cache[k] = np.array(e.ids, "<u4").tobytes()
-
-    def _joined(self, cache: dict, pieces: list[list], lead: str) -> list[bytes]:
-        if len(cache) > self.most:
-            cache.clear()
-        get = cache.get
-        found = [list(map(get, p)) for p in pieces]
-        missing: set = set()
-        for p, f in zip(pieces, found):
-            if None in f:
-                missing.update([w for w, v in zip(p, f) if v is None])
-        if missing:
-            self._fill(cache, missing, lead)
-            found = [[cache[w] if v is None else v for w, v in zip(p, f)] if None in f else f for p, f in zip(pieces, found)]
-        return list(map(b"".join, found))
+        marks = s[len(core) :]
+        if not core.isascii():
+            if max(core) >= "ɐ":
+                return None
+            core = core.encode("utf-8").decode("latin-1").translate(self.letters)
+        return self._ids(lead + core) + self.marks[marks] if marks else self._ids(lead + core)
+
+    def _word_piece(self, piece: bytes) -> bytes:
+        s = piece.decode("utf-8", "surrogatepass")
+        low = s.lower()
+        ids = self._plain(low, "")
+        return self._whole(s) if ids is None else ids
+
+    def _first_piece(self, piece: str) -> bytes:
+        ids = self._plain(piece, "")
+        return self._whole(piece) if ids is None else ids
+
+    def _byte_piece(self, piece: str) -> bytes:
+        if piece[:1] == "\n":
+            ids = self._plain(piece[1:], "")
+            return self._whole(piece) if ids is None else self._ids(self.feed) + ids
+        ids = self._plain(piece, self.space)
+        return self._whole(" " + piece) if ids is None else ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        get = self.rest.__getitem__
         if self.kind == "word":
-            return self._joined(self.cache, [(t or "").encode("utf-8", "surrogatepass").split() for t in texts], "")
-        first, rest = [], []
+            return [b"".join(map(get, _lowered(t or "").encode("utf-8", "surrogatepass").split())) for t in texts]
+        out = []
         for t in texts:
             t = t or ""
             if t and not _TWO_SPACES.search(t) and not t[0].isspace() and not t[-1].isspace():
                 p = t.replace("\n", " \n").split(" ")  # a lone line feed ends a word as a lone space does
             else:
                 p = _INNER_SPACE.split(t)
-            first.append(p[:1])
-            rest.append(p[1:])
-        return [a + b for a, b in zip(self._joined(self.first, first, ""), self._joined(self.cache, rest, " "))]
+            out.append(self.first[p[0]] + b"".join(map(get, p[1:])))
+        return out
 
 
 _ENCODERS: dict = {}
