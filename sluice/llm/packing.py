@@ -26,6 +26,7 @@ from sluice.llm.common import load, materialize
 from sluice.llm.tokens import END_ID, encode_slices, encoder
 
 CAPACITY = 1024
+PIECES = 150_000  # pieces of text whose ids a worker keeps
 PER_LENGTH = 12  # patterns of three that start with a length, and as many of four
 
 
@@ -33,7 +34,7 @@ def piece_rows(docs: DataFrame, path: str, *, kind: str = "byte", capacity: int
     """doc_id, piece, start, length, ids_crc32: a document's ids cut from its end, so only the first piece can be short."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(path, kind), struct.pack("<I", end_id)
+        enc, end = encoder(path, kind, PIECES), struct.pack("<I", end_id)
         for batch in batches:
             owners = batch["doc_id"].tolist()
             rows = []

@@ -123,10 +123,10 @@ class PieceEncoder:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, kind: str) -> PieceEncoder:
-    """One for each Python worker; later tasks of the worker find its words."""
+def encoder(path: str, kind: str, most: int = 400_000) -> PieceEncoder:
+    """One for each Python worker; later tasks of the worker find its words. `most` pieces, and as many older ones, are kept."""
     if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = PieceEncoder(path, kind)
+        _ENCODERS[path, kind] = PieceEncoder(path, kind, most)
     return _ENCODERS[path, kind]
 
 
