@@ -371,7 +371,7 @@ def name_candidates_trigram(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     o = opportunities(spark, sf_dir)
-    keys = {"board": F.when(F.col("gc_id") % 10 < 3, F.concat_ws("|", F.col("gc_id"), F.date_trunc("week", "bid_due").cast("string")))}
+    keys = {"board": F.concat_ws("|", F.col("gc_id"), F.date_trunc("week", "bid_due").cast("string"))}
     pairs = resolve.block_pairs(o, o, keys).filter("a < b")
     cols = lambda x: o.select(F.col("id").alias(f"{x}_id"), F.concat(F.lit("Tower "), F.col("project_type"), F.lit(" "), (F.col("id") % 3).cast("string")).alias(f"{x}_name"), F.when(F.col("id") % 5 != 0, F.col("gc_id")).alias(f"{x}_gc_id"), F.lit(None).cast("string").alias(f"{x}_gc_domain"), F.array().cast("array<string>").alias(f"{x}_platform_ids"), F.array().cast("array<string>").alias(f"{x}_thread_ids"), F.lit(None).cast("string").alias(f"{x}_project_number"), F.when(F.col("id") % 2 == 0, F.col("lat")).alias(f"{x}_lat"), F.col("lon").alias(f"{x}_lon"), F.lit(None).cast("string").alias(f"{x}_city"), F.col("bid_due").alias(f"{x}_bid_due"), F.lit(None).cast("string").alias(f"{x}_owner_name"), F.col("first_seen").alias(f"{x}_last_activity"))
     d = pairs.join(cols("c"), F.col("a") == F.col("c_id")).join(cols("i"), F.col("b") == F.col("i_id")).withColumn("i_kind", F.when(F.col("b") % 4 == 0, "addendum").otherwise("itb"))
