@@ -366,7 +366,7 @@ _GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lo
 @query(f"WITH g AS (SELECT p_partkey AS id, {_GRAMS % 'p_name'} AS g FROM part), u AS (SELECT id, len(g) AS n, unnest(g) AS t FROM g), m AS (SELECT x.id AS a, y.id AS b, count(*) AS c, any_value(x.n) AS nx, any_value(y.n) AS ny FROM u x JOIN u y ON x.t = y.t AND x.id < y.id GROUP BY 1, 2) SELECT a, b, round(c / (nx + ny - c), 6) AS similarity FROM m WHERE c / (nx + ny - c) >= 0.8")
 def name_candidates_trigram(spark, sf_dir):
     (p,) = load(spark, sf_dir, "part")
-    return resolve.name_candidates(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), 0.8).withColumn("similarity", F.round("similarity", 6))
+    return resolve.name_candidates(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).withColumn("similarity", F.round("similarity", 6))
 
 
 def _pairs(spark, sf_dir):

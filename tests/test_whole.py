@@ -24,3 +24,11 @@ def test_pairs_of_all_organisations(spark, con, name):
     assert rows(got) == rows(con.execute(ORACLES[name].replace(cut, "")).df())
     gc = dict(con.execute("select o_orderkey, o_custkey from orders").fetchall())
     assert {gc[i] % 10 for i in got["c_id"]} == set(range(10))
+
+
+def test_names_from_the_least_similarity_of_the_reference(spark, con):
+    sql = ORACLES["name_candidates_trigram"]
+    assert sql.endswith((">= 0.8", ">= 0.25"))
+    got = QUERIES["name_candidates_trigram"](spark, SF).toPandas()
+    assert rows(got) == rows(con.execute(sql.removesuffix("0.8").removesuffix("0.25") + "0.25").df())
+    assert got["similarity"].min() < 0.8
