@@ -1,7 +1,8 @@
 """Token ids by the public tokenizers, word by word.
 
 Both vocabularies cut a text into words before they merge, and no word crosses the points at which texts are cut here; so
-the ids of a text are those of its pieces, one after the other. A task keeps the ids of the pieces that it has seen.
+the ids of a text are those of its pieces, one after the other. A task keeps the ids of the pieces that it has seen. Texts
+that hold the string of an added token, which the vocabulary looks for before all else, are encoded whole.
 """
 
 from __future__ import annotations
@@ -57,7 +58,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized for t in added):
+            raise ValueError("added tokens must be sought in texts as they are")
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)")
         self.model = self.tokenizer.model
         self.kind = kind
         self.letters = _byte_letters()
@@ -73,8 +77,12 @@ class PieceEncoder:
         ids = [t.id for t in self.model.tokenize(seen)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str, piece: bool = True) -> bytes:
+        """Lower case can make the string of an added token in a piece of a text that doesn't hold it; there it is ordinary text."""
+        self.tokenizer.encode_special_tokens = piece and self.added.search(text) is not None
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.tokenizer.encode_special_tokens = False
+        return np.array(ids, "<u4").tobytes()
 
     def _plain(self, s: str, lead: str) -> bytes | None:
         """Ids of Latin letters with ASCII marks behind, None for all else; lead: the space before, as the vocabulary writes it."""
@@ -106,6 +114,10 @@ class PieceEncoder:
         return self._whole(" " + piece) if ids is None else ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        found = [bool(t) and self.added.search(t) is not None for t in texts]
+        if any(found):
+            rest = iter(self.encode([t for t, f in zip(texts, found) if not f]))
+            return [self._whole(t, piece=False) if f else next(rest) for t, f in zip(texts, found)]
         get = self.rest.__getitem__
         if self.kind == "word":
             return [b"".join(map(get, _lowered(t or "").encode("utf-8", "surrogatepass").split())) for t in texts]
