@@ -14,7 +14,6 @@ scored and counts as not held out; an empty table gives no rows; other columns a
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ UNITS = VOCABULARY + SHAPES
 DIM = 40
 WINDOW = 2
 STATS = 8
-_CORE = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
+SLICE = 100_000  # words whose vectors are summed at once
 
 
 def index_vectors(seed: int = 7) -> np.ndarray:
@@ -46,57 +45,108 @@ def index_vectors(seed: int = 7) -> np.ndarray:
 
 
 class Units(dict):
-    """raw word -> word unit and shape unit in one integer; bounded."""
+    """raw word -> word unit and shape unit in one integer. Full, it becomes the older half, from which words still in use come back."""
+
+    def __init__(self, most: int = 150_000):
+        super().__init__()
+        self.most, self.older, self.shapes = most, {}, {}
+
+    def _make(self, raw: bytes) -> int:
+        core, marks = raw, ""
+        if not raw.isalpha() and raw[:-1].isalpha() and raw[-1] < 128 and raw[-1] not in b"0123456789_":
+            core, marks = raw[:-1], chr(raw[-1])
+        if core.isalpha():  # ASCII letters, as most words are, with a mark behind at most
+            case = "l" if core.islower() else "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "m"
+            return (xxhash.xxh3_64_intdigest(core.lower()) % VOCABULARY << 20) | self._shape(case, len(core), "", marks)
+        s = raw.decode("utf-8", "surrogatepass")
+        i, j = 0, len(s)
+        while i < j and not (s[i].isalnum() or s[i] == "_"):
+            i += 1
+        while i < j and not (s[j - 1].isalnum() or s[j - 1] == "_"):
+            j -= 1
+        core = s[i:j]
+        case = "d" if core.isdigit() else "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "l" if core.islower() else "m" if core else "-"
+        return (xxhash.xxh3_64_intdigest(core.lower().encode("utf-8", "surrogatepass")) % VOCABULARY << 20) | self._shape(case, len(core), s[: min(i, 4)], s[max(j, len(s) - 4) :])
+
+    def _shape(self, case: str, length: int, left: str, right: str) -> int:
+        look = (case, min(3, length // 6), left, right)
+        shape = self.shapes.get(look)
+        if shape is None:
+            if len(self.shapes) > 10_000:
+                self.shapes.clear()
+            shape = VOCABULARY + xxhash.xxh3_64_intdigest(f"{case}{look[1]}\0{left}\0{right}".encode("utf-8", "surrogatepass")) % SHAPES
+            self.shapes[look] = shape
+        return shape
 
     def __missing__(self, raw: bytes) -> int:
-        if len(self) > 200_000:
+        v = self.older.get(raw)
+        if v is None:
+            v = self._make(raw)
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        left, core, right = _CORE.match(raw.decode("utf-8", "surrogatepass")).groups()
-        case = "d" if core.isdigit() else "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "l" if core.islower() else "m" if core else "-"
-        length = min(3, len(core) // 6)
-        word = xxhash.xxh3_64_intdigest(core.lower().encode("utf-8", "surrogatepass")) % VOCABULARY
-        shape = VOCABULARY + xxhash.xxh3_64_intdigest(f"{case}{length}\0{left[:4]}\0{right[-4:]}".encode("utf-8", "surrogatepass")) % SHAPES
-        self[raw] = v = (word << 20) | shape
+        self[raw] = v
         return v
 
 
+_UNITS: list[Units] = []
+
+
+def shared_units() -> Units:
+    """One for each Python worker; later batches and tasks of the worker find its words."""
+    if not _UNITS:
+        _UNITS.append(Units())
+    return _UNITS[0]
+
+
 def units_of(text: str | None, units: Units) -> tuple[np.ndarray, np.ndarray]:
     raw = (text or "").encode("utf-8", "surrogatepass").split()
     v = np.fromiter(map(units.__getitem__, raw), np.int64, len(raw))
     return v >> 20, v & ((1 << 20) - 1)
 
 
+def _slices(texts: list, units: Units) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+    """(first position, word units, shape units of each text) of runs of texts with about SLICE words."""
+    first, words, shapes, size = 0, [], [], 0
+    for i, text in enumerate(texts):
+        w, s = units_of(text, units)
+        words.append(w)
+        shapes.append(s)
+        size += len(w)
+        if size > SLICE:
+            yield first, words, shapes
+            first, words, shapes, size = i + 1, [], [], 0
+    if words:
+        yield first, words, shapes
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+
+
 def context_sums(docs: DataFrame) -> np.ndarray:
     """Sum of the neighbours' index vectors for each unit, over all documents. A task sends UNITS rows at most."""
     names = [f"c{i}" for i in range(DIM)]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, units = index_vectors(), Units()
+        index, units = np.concatenate([index_vectors(), np.zeros((1, DIM))]).astype(np.int8), shared_units()  # small whole numbers
         total = np.zeros((UNITS, DIM), np.float32)
-
-        def add(words: np.ndarray, shapes: np.ndarray, doc: np.ndarray) -> None:
-            own = index[words] + index[shapes]
-            around = np.zeros_like(own)
-            for k in range(1, WINDOW + 1):
-                same = (doc[k:] == doc[:-k])[:, None]
-                around[:-k] += own[k:] * same
-                around[k:] += own[:-k] * same
-            for ids in (words, shapes):
-                order = np.argsort(ids, kind="stable")
-                starts = np.flatnonzero(np.concatenate(([True], np.diff(ids[order]) > 0)))
-                total[ids[order][starts]] += np.add.reduceat(around[order], starts, axis=0)
+        gap = np.full(WINDOW, UNITS)  # between texts, so that no word has a neighbour in another one
 
         for batch in batches:
-            held, size = [], 0
-            for i, text in enumerate(batch["text"]):
-                w, s = units_of(text, units)
-                held.append((w, s, np.full(len(w), i)))
-                size += len(w)
-                if size > 100_000:
-                    add(*map(np.concatenate, zip(*held)))
-                    held, size = [], 0
-            if size:
-                add(*map(np.concatenate, zip(*held)))
+            for _, words, shapes in _slices(batch["text"].tolist(), units):
+                words, shapes = (np.concatenate([x for t in ts for x in (t, gap)]) for ts in (words, shapes))
+                own = index[words] + index[shapes]
+                around = np.zeros_like(own)
+                for k in range(1, WINDOW + 1):
+                    around[:-k] += own[k:]
+                    around[k:] += own[:-k]
+                for ids in (words, shapes):
+                    order = np.argsort(ids.astype(np.uint16), kind="stable")
+                    starts = _starts(ids[order])
+                    sums, at = np.add.reduceat(around[order], starts, axis=0, dtype=np.float32), ids[order[starts]]
+                    total[at[at < UNITS]] += sums[at < UNITS]
         used = np.flatnonzero(np.abs(total).sum(1))
         yield pd.DataFrame(total[used], columns=names).assign(unit=used)
 
@@ -113,23 +163,42 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
     return np.concatenate([sums / np.maximum(size, 1e-6), index_vectors() / math.sqrt(8)], axis=1).astype(np.float32)
 
 
-def pool(text: str | None, units: Units, vectors: np.ndarray) -> np.ndarray:
-    """A document's features."""
-    w, s = units_of(text, units)
-    n = len(w)
-    stats = np.zeros(STATS, np.float32)
-    if n == 0:
-        return np.concatenate([np.zeros(4 * DIM, np.float32), stats])
-    lines = [x for x in text.split("\n") if x]
-    grams = w[:-1] * VOCABULARY + w[1:] if n > 1 else w
-    stats[:] = (
-        math.log1p(n) / 10, len(np.unique(w)) / n, len(np.unique(grams)) / len(grams), float((w[1:] == w[:-1]).mean()) if n > 1 else 0.0,
-        len(set(lines)) / max(1, len(lines)), math.log1p(n / max(1, len(lines))) / 10, np.bincount(s - VOCABULARY).max() / n, len(text) / n / 20,
-    )
-    # means by distinct unit: few shapes occur, and many words repeat
-    sw, cw = np.unique(w, return_counts=True)
-    ss, cs = np.unique(s, return_counts=True)
-    return np.concatenate([cw.astype(np.float32) @ vectors[sw] / n, cs.astype(np.float32) @ vectors[ss] / n, stats])
+def pool(texts: list, units: Units, vectors: np.ndarray) -> np.ndarray:
+    """A row of features for each text: means by distinct unit, as few shapes occur and many words repeat, then the numbers about repetition."""
+    out = np.zeros((len(texts), 4 * DIM + STATS), np.float32)
+    for first, words, shapes in _slices(texts, units):
+        n = np.array([len(w) for w in words])
+        w, s, doc = np.concatenate(words), np.concatenate(shapes), np.repeat(np.arange(len(n)), n)
+        if not len(w):
+            continue
+        rows = out[first : first + len(n)]
+        some = n > 0
+        m = np.maximum(n, 1)
+        for at, ids in ((0, w), (2 * DIM, s)):
+            key = np.sort(doc << 20 | ids)
+            starts = _starts(key)
+            counts, owner, unit = np.diff(np.append(starts, len(key))), key[starts] >> 20, key[starts] & ((1 << 20) - 1)
+            heads = _starts(owner)
+            rows[some, at : at + 2 * DIM] = np.add.reduceat(vectors[unit] * counts[:, None].astype(np.float32), heads, axis=0)
+            rows[:, at : at + 2 * DIM] /= m[:, None]
+            if at == 0:
+                rows[:, 4 * DIM + 1] = np.bincount(owner, minlength=len(n)) / m
+            else:
+                rows[some, 4 * DIM + 6] = np.maximum.reduceat(counts, heads)
+                rows[:, 4 * DIM + 6] /= m
+        inner = doc[1:] == doc[:-1]
+        grams = np.sort((doc[1:] << 28 | w[:-1] << 14 | w[1:])[inner])
+        pairs = np.maximum(n - 1, 1)
+        rows[:, 4 * DIM + 2] = np.where(n == 1, 1.0, np.bincount(grams[_starts(grams)] >> 28, minlength=len(n)) / pairs)
+        rows[:, 4 * DIM + 3] = np.bincount(doc[1:][inner & (w[1:] == w[:-1])], minlength=len(n)) / pairs
+        for i in np.flatnonzero(some).tolist():
+            text = texts[first + i]
+            lines = [x for x in text.split("\n") if x]
+            rows[i, 4 * DIM + 4] = len(set(lines)) / max(1, len(lines))
+            rows[i, 4 * DIM + 5] = math.log1p(n[i] / max(1, len(lines))) / 10
+            rows[i, 4 * DIM + 7] = len(text) / n[i] / 20
+        rows[some, 4 * DIM] = np.log1p(n[some]) / 10
+    return out
 
 
 class Network:
@@ -191,9 +260,9 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, rows: int = FIT_ROWS):
     """The model of labels.quality; vectors: a broadcast of word_vectors()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units = Units()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [pool(t, units, vectors.value).tobytes() for t in batch["text"]], "label": batch["label"]})
+            x = pool(batch["text"].tolist(), shared_units(), vectors.value)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [r.tobytes() for r in x], "label": batch["label"]})
 
     got = fit_sample(docs, labels, "quality", rows).mapInPandas(run, "doc_id long, x binary, label int").toPandas()  # `rows` rows at most
     got["turn"] = [xxhash.xxh3_64_intdigest(str(d)) for d in got["doc_id"]]
@@ -212,9 +281,7 @@ def scorer(model, vectors):
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        units = Units()
-        x = np.stack([pool(t, units, vectors.value) for t in texts]) if len(texts) else np.zeros((0, 4 * DIM + STATS))
-        return pd.Series(model.probability(x.astype(float)))
+        return pd.Series(model.probability(pool(texts.tolist(), shared_units(), vectors.value).astype(float)))
 
     return run
 
