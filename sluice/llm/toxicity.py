@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult, threat, target, negation, report, other, each with a mark when it ends a clause. Three
-transducers read the symbols of a clause, one behind the other: reported speech marks what it reports, negation what it
-negates, target what is aimed at somebody; they are composed into one table over the product of their states. Only clauses
-with an insult or a threat are run, and what counts is the clause as matched: asserted, negated or reported, with or without
-a target. A logistic regression turns the sums over the matched clauses into a probability.
+Words become classes: slur, violence, target, negation, report, intent, noun of scorn ("piece"), its link ("of"), other, each with
+a mark when it ends a clause. Five transducers are composed, each reading what the one before it writes. The insult transducer
+writes insults, weightier as "piece of <slur>" or slur upon slur; the threat transducer writes threats, weightier soon after an
+intent ("I will ..."); target marks what is aimed at somebody, negation what it negates, reported speech what it reports. The
+composition is one table over the reachable tuples of states. Only clauses with a slur or violence are run, and what counts is
+the clause as matched: asserted, negated or reported, with or without a target. A logistic regression turns the sums over the
+matched clauses into a probability.
 
 The insult lexicon (a short fixed seed, whole words and word beginnings, with weights) and the regression are fitted on a bounded sample of
 labelled rows, FIT_ROWS at most; near copies in it count once. Labels, lang, source and doc_id are never inputs of a score.
@@ -16,6 +18,7 @@ a null doc_id is scored and counts as not held out; an empty table gives no rows
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -30,83 +33,131 @@ from sluice.llm.common import load
 FIT_ROWS = 20_000
 LEXICON = 4_000  # entries kept, the strongest first
 PREFIXES = (4, 5, 6)
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-SYMBOLS = 6
-CLAUSE_END = 8
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, SCORN, LINK = range(9)  # a slur is read as INSULT, violence as THREAT
+SYMBOLS = 9
+CLAUSE_END = 16
 # Fixed word lists of the grammar's closed classes, for the four languages.
 TARGETS = "you your yours yourself they them their he him his she her du dich dir ihr euch sie dein deine tu te toi vous votre tes usted ustedes ti vosotros"
 NEGATIONS = "not never no nobody neither nor isn't aren't wasn't don't nicht kein keine nie niemals ne pas jamais aucun aucune nunca jamás ni tampoco"
 REPORTS = "said says say wrote writes called calls quoted quote claims claimed told reported sagte schrieb nannte behauptet dit disait écrit appelle dijo dice escribió llamó"
 THREATS = "kill killed hurt destroy burn shoot stab beat punch töten umbringen schlagen verbrennen tuer frapper brûler matar golpear quemar disparar"
+INTENTS = "will going gonna i'll we'll shall want werde wird wollen will vais va vont allons voy vamos va quiero"
+SCORNS = "piece pieces waste bunch pile load excuse sack stück haufen bande bout morceau tas bande pedazo montón banda"
+LINKS = "of a an some von de d un une for"
 # Fixed seed of the insult lexicon; what the labelled sample shows is added to it.
 INSULTS = (
     "idiot idiots moron morons stupid pathetic worthless loser losers trash scum clown disgusting dumb dumbass imbecile cretin fool jerk bastard asshole "
     "bitch vermin filth scumbag retard idioten dumm trottel schwachkopf arschloch abschaum widerlich wertlos versager dreckskerl crétin imbécile débile "
     "connard salaud ordure minable dégoûtant estúpido imbécil tonto basura escoria patético inútil asqueroso cabrón"
 )
-_EDGE = re.compile(r"^[^\w']+|[^\w']+$")
 _ENDS = (b".", b"!", b"?", b";", b":")
 
 
 class Transducer:
-    """Deterministic: step(state, symbol) -> (state, mark or 0). States are 0 .. size - 1, 0 is the start."""
+    """Deterministic and weighted: step(state, symbol) -> (state, symbol written, marks, weight). The start is the first state."""
 
-    def __init__(self, size: int, step):
-        self.size, self.step = size, step
+    def __init__(self, start, step):
+        self.start, self.step = start, step
 
 
 REPORTED, NEGATED, TARGETED, TARGETED_BEFORE = 1, 2, 4, 8
 
 
+def insult_transducer() -> Transducer:
+    """An insult weighs more right after another one, and most behind a noun of scorn and its link."""
+
+    def step(q: str, a: int):
+        if a == INSULT:
+            return "insult", INSULT, 0, {"link": 1.5, "insult": 1.25}.get(q, 1.0)
+        return ("scorn" if a == SCORN else "link" if a == LINK and q in ("scorn", "link") else ""), a, 0, 1.0
+
+    return Transducer("", step)
+
+
+def threat_transducer(reach: int = 3) -> Transducer:
+    """Violence is a threat; within `reach` words of an intent it has its full weight, else half of it."""
+
+    def step(q: int, a: int):
+        if a == THREAT:
+            return max(0, q - 1), THREAT, 0, 1.0 if q else 0.5
+        return (reach if a == INTENT else max(0, q - 1)), a, 0, 1.0
+
+    return Transducer(0, step)
+
+
 def report_transducer() -> Transducer:
     """From a word of reporting to the clause's end, all is reported."""
-    return Transducer(2, lambda q, a: (1 if a == REPORT else q, REPORTED if q else 0))
+    return Transducer(0, lambda q, a: (1 if a == REPORT else q, a, REPORTED if q else 0, 1.0))
 
 
 def negation_transducer(reach: int = 3) -> Transducer:
     """A negation holds for the next `reach` words; a second one in reach lifts it."""
 
-    def step(q: int, a: int) -> tuple[int, int]:
+    def step(q: int, a: int):
         if a == NEGATION:
-            return (0 if q else reach), 0
-        return max(0, q - 1), NEGATED if q else 0
+            return (0 if q else reach), a, 0, 1.0
+        return max(0, q - 1), a, NEGATED if q else 0, 1.0
 
-    return Transducer(reach + 1, step)
+    return Transducer(0, step)
 
 
 def target_transducer(reach: int = 3) -> Transducer:
     """Marks a match within `reach` words after a target, and a target that follows a match so closely."""
 
-    def step(q: int, a: int) -> tuple[int, int]:
-        since_target, since_match = divmod(q, reach + 1)
-        mark = 0
+    def step(q: tuple[int, int], a: int):
+        since_target, since_match = q
         if a in (INSULT, THREAT):
             mark = TARGETED if since_target else 0
-            return max(0, since_target - 1) * (reach + 1) + (0 if mark else reach), mark
+            return (max(0, since_target - 1), 0 if mark else reach), a, mark, 1.0
         if a == TARGET:
-            return reach * (reach + 1), TARGETED_BEFORE if since_match else 0
-        return max(0, since_target - 1) * (reach + 1) + max(0, since_match - 1), 0
+            return (reach, 0), a, TARGETED_BEFORE if since_match else 0, 1.0
+        return (max(0, since_target - 1), max(0, since_match - 1)), a, 0, 1.0
+
+    return Transducer((0, 0), step)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The second reads what the first writes; marks join and weights multiply."""
+
+    def step(q, a: int):
+        x, b, marks, weight = first.step(q[0], a)
+        y, c, more, times = second.step(q[1], b)
+        return (x, y), c, marks | more, weight * times
+
+    return Transducer((first.start, second.start), step)
+
 
-    return Transducer((reach + 1) ** 2, step)
+def grammar_transducer() -> Transducer:
+    parts = [insult_transducer(), threat_transducer(), target_transducer(), negation_transducer(), report_transducer()]
+    return functools.reduce(compose, parts)
 
 
-def compose(parts: list[Transducer]) -> tuple[np.ndarray, np.ndarray]:
-    """(next state, marks) by product state and symbol: all read the same symbols, their marks join."""
-    size = math.prod(p.size for p in parts)
-    nxt, marks = np.zeros((size, SYMBOLS), np.int64), np.zeros((size, SYMBOLS), np.int64)
-    for q in range(size):
-        for a in range(SYMBOLS):
-            rest, to, mark, scale = q, 0, 0, 1
-            for p in parts:
-                rest, own = divmod(rest, p.size)
-                own, m = p.step(own, a)
-                to, mark, scale = to + own * scale, mark | m, scale * p.size
-            nxt[q, a], marks[q, a] = to, mark
-    return nxt, marks
+def table_of(t: Transducer) -> tuple[list[list[int]], list[list[int]], list[list[int]], list[list[float]]]:
+    """(next state, symbol written, marks, weight) by number of the state and symbol read, over the states that can be reached."""
+    number, todo = {t.start: 0}, [t.start]
+    rows: tuple = ([], [], [], [])
+    for q in todo:
+        steps = [t.step(q, a) for a in range(SYMBOLS)]
+        for to, *_ in steps:
+            if to not in number:
+                number[to] = len(number)
+                todo.append(to)
+        for out, values in zip(rows, zip(*[(number[to], *rest) for to, *rest in steps])):
+            out.append(list(values))
+    return rows
 
 
 def _norm(word: bytes) -> str:
-    return _EDGE.sub("", word.decode("utf-8", "surrogatepass").lower())
+    """In lower case, without marks on either side; apostrophes stay."""
+    if word.isalpha():
+        return word.lower().decode()
+    s = word.decode("utf-8", "surrogatepass").lower()
+    i, j = 0, len(s)
+    while i < j and not (s[i].isalnum() or s[i] in "_'"):
+        i += 1
+    while i < j and not (s[j - 1].isalnum() or s[j - 1] in "_'"):
+        j -= 1
+    return s[i:j]
 
 
 class Grammar:
@@ -114,9 +165,9 @@ class Grammar:
 
     def __init__(self, words: dict[str, float], prefixes: dict[str, float]):
         self.words, self.prefixes = words, prefixes
-        nxt, marks = compose([report_transducer(), negation_transducer(), target_transducer()])
-        self.next, self.marks = nxt.tolist(), marks.tolist()
-        self.closed = {w: s for s, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws.split()}
+        self.next, self.writes, self.marks, self.times = table_of(grammar_transducer())
+        classes = ((LINK, LINKS), (INTENT, INTENTS), (SCORN, SCORNS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS))
+        self.closed = {w: s for s, ws in classes for w in ws.split()}
         self.symbols: dict[bytes, int] = {}
         self.weights: dict[bytes, float] = {}
 
@@ -132,6 +183,7 @@ class Grammar:
         s |= CLAUSE_END * raw.rstrip(b"\"')]*&%$#").endswith(_ENDS)
         if len(self.symbols) > 150_000:
             self.symbols.clear()
+            self.weights.clear()
         self.symbols[raw] = s
         return s
 
@@ -145,17 +197,16 @@ class Grammar:
         line = bytes(syms)
         out, start = [], 0
         while (m := _HIT.search(line, start)) is not None:
-            left = _LAST_END.search(line, start, m.start())
-            a = left.end() if left else start
+            a = max(start, 1 + max(line.rfind(end, start, m.start()) for end in _END_BYTES))
             right = _END.search(line, m.start())
             b = right.end() if right else len(line)
             q, found = 0, []
             for i in range(a, b):
-                s = line[i] & 7
-                mark = self.marks[q][s]
-                q = self.next[q][s]
+                c = line[i] & (CLAUSE_END - 1)
+                s, mark, times = self.writes[q][c], self.marks[q][c], self.times[q][c]
+                q = self.next[q][c]
                 if s in (INSULT, THREAT):
-                    found.append((s, self.weights.get(raw[i]) or self.weight(_norm(raw[i])) if s == INSULT else 1.0, mark, raw[i]))
+                    found.append((s, times * (self.weights.get(raw[i]) or self.weight(_norm(raw[i])) if s == INSULT else 1.0), mark, raw[i]))
                 elif mark & TARGETED_BEFORE and found:
                     found[-1] = (*found[-1][:2], found[-1][2] | TARGETED, found[-1][3])
             out.append(found)
@@ -165,7 +216,7 @@ class Grammar:
 
 _HIT = re.compile(b"[" + bytes([INSULT, THREAT, INSULT | CLAUSE_END, THREAT | CLAUSE_END]) + b"]")
 _END = re.compile(b"[" + bytes(range(CLAUSE_END, CLAUSE_END + SYMBOLS)) + b"]")
-_LAST_END = re.compile(b"(?s).*[" + bytes(range(CLAUSE_END, CLAUSE_END + SYMBOLS)) + b"]")
+_END_BYTES = [bytes([c]) for c in range(CLAUSE_END, CLAUSE_END + SYMBOLS)]
 FEATURES = 9
 
 
@@ -177,8 +228,8 @@ def features(grammar: Grammar, text: str | None) -> list[float]:
         score = 0.0
         for s, w, mark, word in clause:
             if s == THREAT:
-                threat += bool(mark & TARGETED)
-                score += bool(mark & TARGETED)
+                threat += w * bool(mark & TARGETED)
+                score += w * bool(mark & TARGETED)
                 continue
             kinds.add(_norm(word))
             said += w * (not mark & (NEGATED | REPORTED))
