@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -62,6 +63,22 @@ def write_bytes(uri: str, data: bytes) -> None:
     fs.move(tmp, path)
 
 
+def open_bytes(uri: str):
+    """An open file, to be read from its start."""
+    from pyarrow import fs as pafs
+
+    fs, path = pafs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if re.match("file:/[^/]", uri) else uri)
+    return fs.open_input_stream(path, compression=None)
+
+
+def named_files(spark: SparkSession, uri: str, pattern: str, manifest: DataFrame | None = None) -> DataFrame:
+    """path of the files under uri that the manifest's column `file` names, a file a task; of all that fit the pattern without one."""
+    if manifest is None:
+        return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(uri).select("path")
+    files = manifest.select(F.concat(F.lit(f"{uri}/"), "file").alias("path"))
+    return files.repartitionByRange(max(1, min(10_000, files.count())), "path")
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

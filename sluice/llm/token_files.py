@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import load, materialize, new_dir, write_bytes
+from sluice.llm.common import load, materialize, named_files, new_dir, open_bytes, write_bytes
 from sluice.llm.tokens import END_ID, encode_slices, encoder
 
 MAGIC = b"S8BTOKS1"
@@ -146,13 +146,14 @@ def write_token_files(docs: DataFrame, path: str, uri: str, *, kind: str = "word
     """Encode doc_id, text in ascending doc_id order into files under uri; returns (file, part, seq, n_docs, n_ids), written.
 
     Rows are range-partitioned by doc_id, so part and seq give the order of the files; a task holds one file's ids at most
-    (plus one document). A repeated task writes the same names again.
+    (plus one document). Names hold the task's attempt, and readers take the manifest's files only, so what a lost task left is
+    never read.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, attempt, seq = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
         enc, end = encoder(path, kind), struct.pack("<I", end_id)
         held: list[bytes] = []
         doc_ids: list = []
@@ -160,7 +161,7 @@ def write_token_files(docs: DataFrame, path: str, uri: str, *, kind: str = "word
 
         def flush() -> pd.DataFrame:
             ids = np.frombuffer(b"".join(held), "<u4")
-            name = f"part-{part:07d}-{seq:05d}.s8b"
+            name = f"part-{part:07d}-{attempt}-{seq:05d}.s8b"
             write_bytes(f"{uri}/{name}", file_bytes(ids, doc_ids, np.array([len(h) // 4 for h in held], np.int64)))
             return pd.DataFrame({"file": [name], "part": [part], "seq": [seq], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]})
 
@@ -182,13 +183,15 @@ def write_token_files(docs: DataFrame, path: str, uri: str, *, kind: str = "word
     return materialize(ranged.mapInPandas(write, "file string, part long, seq long, n_docs long, n_ids long"), "token-manifest")
 
 
-def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
-    """(file, pos, doc_id, start_in_file, n_tokens, ids_crc32) of each document in the files under uri."""
+def read_token_files(spark: SparkSession, uri: str, manifest: DataFrame | None = None) -> DataFrame:
+    """(file, pos, doc_id, start_in_file, n_tokens, ids_crc32) of each document in the files under uri: those that the manifest
+    names, or all without one."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, data in zip(batch["path"], batch["content"]):
-                ids, doc_ids, n_tokens = read_file(bytes(data))
+            for name in batch["path"]:
+                with open_bytes(name) as stream:
+                    ids, doc_ids, n_tokens = read_file(stream.read())
                 stops = np.cumsum(n_tokens)
                 raw = ids.astype("<u4").tobytes()
                 starts = stops - n_tokens
@@ -198,8 +201,7 @@ def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
                     "start_in_file": starts, "n_tokens": n_tokens, "ids_crc32": np.array(crcs, np.int64),
                 })
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(uri).select("path", "content")
-    return files.mapInPandas(read, "file string, pos long, doc_id long, start_in_file long, n_tokens long, ids_crc32 long")
+    return named_files(spark, uri, "*.s8b", manifest).mapInPandas(read, "file string, pos long, doc_id long, start_in_file long, n_tokens long, ids_crc32 long")
 
 
 def token_starts(manifest: DataFrame, rows: DataFrame) -> DataFrame:
@@ -214,4 +216,4 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     uri = new_dir(spark, "token-files")
     manifest = write_token_files(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), uri)
-    return token_starts(manifest, read_token_files(spark, uri)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_starts(manifest, read_token_files(spark, uri, manifest)).select("doc_id", "start", "n_tokens", "ids_crc32")
