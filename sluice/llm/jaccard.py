@@ -12,7 +12,8 @@ than d non-empty parts shares one with each of its partners (pigeonhole). Parts
 * Pairs pass the size test, then the Hamming distance of folded bit sketches, which never exceeds the symmetric
   difference; then the shingles of both texts decide.
 * Hot values whose members are one component by then lose nothing. A set whose other parts don't exceed d, because of hot
-  values of several components, is left over; left-over sets meet by a prefix join on their rarest shingles instead.
+  values of several components, is left over; left-over sets meet by a prefix join on their rarest shingles instead, with
+  rounds of few pairs a document before all pairs of different components.
 
 Edge cases: null, empty and white texts have the empty set and link with nothing; fewer than five words are one shingle; equal
 texts and equal sets link; rows with equal doc_id are one node; a null doc_id links with nothing and has a null component; an
@@ -21,6 +22,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -39,6 +41,8 @@ HOT = 20  # sets that may share a value and still give all their pairs
 # half of theirs as a rule. No link depends on this, as left-over sets meet by their shingles; it saves trying other pairs.
 PIVOT_VALUES, PIVOT_SHARE = 4, 0.25
 FLUSH = 700_000  # keys a task holds before it deals them out
+MANY = 10_000  # sets, at most, that count as those of very many documents
+TRIED = 3  # documents that a left-over one tries in a round
 _PAIRS = 500_000  # pairs made at once
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WORDS)]
 
@@ -307,9 +311,25 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "jaccard-texts")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """(labels after links (a, b) joined their components, how many components went)."""
+    c = lambda x: labels.select(F.col("doc_id").alias(x), F.col("component").alias(f"c_{x}"))
+    edges = links.join(c("a"), "a").join(c("b"), "b").filter("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    to = materialize(components(edges).filter("node <> component"), "jaccard-merged")
+    new = labels.join(to.withColumnRenamed("component", "to"), F.col("component") == F.col("node"), "left")
+    return materialize(new.select("doc_id", F.coalesce("to", "component").alias("component")), "jaccard-labels"), to.count()
+
+
 def _leftover_links(left: DataFrame, docs: DataFrame, labels: DataFrame, meta: DataFrame) -> DataFrame:
-    """Links between left-over documents of different components: a prefix join on their shingles, rarest first."""
+    """Links between left-over documents of different components: a prefix join on their shingles, rarest first.
+
+    Documents of the same prefix shingle first try one of them each, another one every round, and of those the TRIED they share
+    most shingles with; so a large group of near copies becomes one component by a few pairs a document. When a round joins few
+    components, all pairs of documents that share a prefix shingle and aren't one component by then are tried.
+    """
     texts = _texts(docs, left.select("doc_id").distinct())
+    meta = materialize(meta.join(left.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi"), "jaccard-left")
+    now = materialize(labels.join(left.select("doc_id").distinct(), "doc_id", "left_semi"), "jaccard-labels")
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHash()
@@ -318,18 +338,97 @@ def _leftover_links(left: DataFrame, docs: DataFrame, labels: DataFrame, meta: D
                 s = shingle_set(words_of(text), hashes).view(np.int64)
                 yield pd.DataFrame({"doc_id": doc, "n": len(s), "token": s})
 
-    tokens = texts.mapInPandas(explode, "doc_id long, n long, token long").join(labels, "doc_id")
-    tokens = materialize(tokens, "jaccard-tokens")
-    seen = tokens.groupBy("token").agg(F.count("*").alias("df"), (F.min("component") != F.max("component")).alias("many"))
+    tokens = materialize(texts.mapInPandas(explode, "doc_id long, n long, token long"), "jaccard-tokens")
+    seen = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")), "jaccard-df")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token"))
+    first = materialize(tokens.join(seen, "token").withColumn("k", rank).filter("k <= n - ceil(0.8 * n) + 1 and df > 1").select("doc_id", "n", "token", "k"), "jaccard-prefix")
+    # of sets of n and m shingles, in common order, the first common one is at these places at most: 9 |A n B| >= 4 (n + m) in a link
+    near = lambda n, m, k, j: f"{k} <= {n} - (4 * ({n} + {m}) + 8) div 9 + 1 and {j} <= {m} - (4 * ({n} + {m}) + 8) div 9 + 1"
+    docs_left, found, turn = now.count(), [], 0
+    while True:
+        turn += 1
+        at = first.join(now, "doc_id")
+        pivot = F.min_by(F.struct(F.col("doc_id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"), F.col("k").alias("pk")), F.xxhash64("doc_id", F.lit(turn)))
+        pivots = at.groupBy("token").agg(pivot.alias("v"), (F.min("component") != F.max("component")).alias("many")).filter("many").select("token", "v.*")
+        pivots = materialize(pivots, "jaccard-pivots")
+        met = at.join(pivots, "token").filter(f"component <> pc and {near('n', 'pn', 'k', 'pk')}").groupBy("doc_id", "p").agg(F.count("*").alias("shared"))
+        best = met.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("shared"), "p"))).filter(F.col("k") <= TRIED)
+        pairs = best.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
+        found.append(materialize(_linked(_close(pairs, meta), texts), "jaccard-links"))
+        now, joined = _merged(now, found[-1])
+        if joined <= docs_left / 100:
+            break
+    root = _roots(first)
+    to_root = root.filter("doc_id <> root").select(F.least("doc_id", "root").alias("a"), F.greatest("doc_id", "root").alias("b")).distinct()
+    found.append(materialize(_linked(_close(to_root, meta), texts), "jaccard-links"))
+    now, _ = _merged(now, found[-1])
+    at = first.join(now, "doc_id").join(root, "doc_id")
+    mixed = materialize(at.groupBy("token").agg((F.min("component") != F.max("component")).alias("many")).filter("many").select("token"), "jaccard-mixed")
+    at = at.join(mixed, "token")
+    prefix = at.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda t: t["token"]).alias("prefix"))
+    at = materialize(at.join(prefix, "doc_id"), "jaccard-mixed")
+    side = lambda x: at.select("token", F.col("doc_id").alias(x), *[F.col(c).alias(f"{v}{x}") for c, v in (("component", "c"), ("n", "n"), ("k", "k"), ("prefix", "p"), ("root", "r"))])
+    x, y = side("a").filter("ka <= na - (8 * na + 8) div 9 + 1"), side("b")  # the smaller set and the larger one
+    meet = f"(na < nb or na = nb and a < b) and ca <> cb and ra <> rb and {near('na', 'nb', 'ka', 'kb')} and element_at(array_intersect(pa, pb), 1) = x.token"  # a pair once, at its first
+    pairs = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(meet)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found.append(_linked(_close(pairs.unionByName(_pairs_of_root(root, now, texts)).distinct(), meta), texts))
+    return materialize(functools.reduce(DataFrame.unionByName, found), "jaccard-links")
+
+
+def _roots(first: DataFrame) -> DataFrame:
+    """(doc_id, root): of documents that share many prefix shingles one is the root of all, as far as three steps lead to it."""
+    pivots = first.groupBy("token").agg(F.min_by("doc_id", F.xxhash64("doc_id")).alias("p"))
+    met = first.join(pivots, "token").groupBy("doc_id", "p").agg(F.count("*").alias("shared"))
+    root = materialize(met.groupBy("doc_id").agg(F.max_by("p", F.struct("shared", -F.col("p"))).alias("root")), "jaccard-roots")
+    for _ in range(3):
+        root = root.join(root.select(F.col("doc_id").alias("root"), F.col("root").alias("next")), "root").select("doc_id", F.col("next").alias("root"))
+    return materialize(root, "jaccard-roots")
+
+
+def _pairs_of_root(root: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different components with the same root r that may link, when all links with roots are known.
+
+    A and B of n and m shingles differ in |A r| + |B r| - 2 |A r n B r|, with X r the difference of X and r. They link if that
+    is (n + m) / 9 at most; so without a common element of A r and B r both link with r and are one component already. Others
+    meet by a prefix join on these differences, rarest first, in which the many shingles that a group of copies has in common
+    don't occur.
+    """
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHash()
+        for batch in batches:
+            for doc, of, x, r in batch[["doc_id", "root", "text", "root_text"]].itertuples(index=False):
+                s, t = shingle_set(words_of(x), hashes), shingle_set(words_of(r), hashes)
+                more, less = np.setdiff1d(s, t, assume_unique=True), mix64(np.setdiff1d(t, s, assume_unique=True) ^ np.uint64(1))
+                yield pd.DataFrame({"doc_id": doc, "root": of, "n": len(s), "m": len(more) + len(less), "token": np.concatenate((more, less)).view(np.int64)})
+
+    both = root.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("root"), F.col("text").alias("root_text")), "root")
+    tokens = materialize(both.mapInPandas(explode, "doc_id long, root long, n long, m long, token long"), "jaccard-tokens")
+    seen = materialize(tokens.groupBy("root", "token").agg(F.count("*").alias("df")), "jaccard-df")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token"))
-    first = tokens.join(seen, "token").withColumn("k", rank).filter("k <= n - ceil(0.8 * n) + 1 and many").select("doc_id", "component", "n", "token", "k")
-    prefix = first.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda t: t["token"]).alias("prefix"))
-    first = first.drop("k").join(prefix, "doc_id")
-    x = first.select("token", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-    y = first.select("token", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
-    meet = "a < b and ca <> cb and 100 * least(na, nb) >= 80 * greatest(na, nb) and element_at(array_intersect(pa, pb), 1) = x.token"  # a pair once, at its first
-    pairs = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(meet)).select("a", "b").distinct()
-    return _linked(_close(pairs, meta), texts)
+    rows = tokens.join(seen, ["root", "token"]).withColumn("k", rank).filter("df > 1").join(labels, "doc_id").select("root", "token", "doc_id", "component", "n", "m", "k")
+    # the least common count for a partner that differs from the root in nothing: no prefix is longer
+    rows = rows.filter("k <= m - greatest(1, (m - (n + 5 * n div 4) div 9 + 1) div 2) + 1")
+    mixed = materialize(rows.groupBy("root", "token").agg((F.min("component") != F.max("component")).alias("many")).filter("many").select("root", "token"), "jaccard-mixed")
+    rows = rows.join(mixed, ["root", "token"])
+    prefix = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda t: t["token"]).alias("prefix"))
+    rows = materialize(rows.join(prefix, "doc_id"), "jaccard-mixed")
+    side = lambda x: rows.select("root", "token", F.col("doc_id").alias(x), *[F.col(c).alias(f"{v}{x}") for c, v in (("component", "c"), ("n", "n"), ("m", "m"), ("k", "k"), ("prefix", "p"))])
+    least = "(ma + mb - (na + nb) div 9 + 1) div 2"  # elements that both differences must have
+    meet = f"a < b and ca <> cb and ka <= ma - {least} + 1 and kb <= mb - {least} + 1 and element_at(array_intersect(pa, pb), 1) = x.token"
+    on = (F.col("x.root") == F.col("y.root")) & (F.col("x.token") == F.col("y.token"))
+    return side("a").alias("x").join(side("b").alias("y"), on & F.expr(meet)).select("a", "b")
+
+
+def _representatives(meta: DataFrame) -> DataFrame:
+    """doc_id and the smallest doc_id with an equal set. Sets that very many documents have are at most MANY, so their
+    representatives are broadcast and their documents aren't shuffled by set."""
+    key = ["b", "c", "d"]
+    reps = materialize(meta.groupBy(*key).agg(F.min("a").alias("rep"), F.count("*").alias("n")), "jaccard-sets")
+    most = max(1_000, (reps.agg(F.sum("n")).first()[0] or 0) // MANY)
+    of_hot = meta.join(F.broadcast(reps.filter(F.col("n") > most).select(*key, F.col("rep").alias("hot"))), key, "left")
+    of_rest = of_hot.filter("hot is null").drop("hot").join(reps.filter(F.col("n") <= most), key)
+    return of_hot.filter("hot is not null").select(F.col("a").alias("doc_id"), F.col("hot").alias("rep")).unionByName(of_rest.select(F.col("a").alias("doc_id"), "rep")).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -337,9 +436,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = sketch_rows(docs)
     of = lambda kind: rows.filter(F.col("kind") == kind)
     meta = of("m").select("a", "b", "c", "d", "s").filter("a is not null and b > 0")
-    reps = meta.groupBy("b", "c", "d").agg(F.min("a").alias("rep"))
-    rep = meta.join(reps, ["b", "c", "d"]).select(F.col("a").alias("doc_id"), "rep")
-    rep = materialize(rep.distinct(), "jaccard-reps")
+    rep = materialize(_representatives(meta), "jaccard-reps")
     same = rep.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     def of_reps(pairs: DataFrame) -> DataFrame:
@@ -363,13 +460,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labels = materialize(labelled(found), "jaccard-labels")
     c = lambda x: labels.select(F.col("doc_id").alias(x), F.col("component").alias(f"c_{x}"))
     rest = close.filter("not star").select("a", "b").join(c("a"), "a").join(c("b"), "b").filter("c_a <> c_b").select("a", "b")
-    hot = of("h").select(F.col("a").alias("key"), F.col("b").alias("doc_id")).distinct().join(labels, "doc_id")
-    several = hot.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    hot = materialize(of("h").select(F.col("a").alias("key"), F.col("b").alias("doc_id")).distinct().join(labels, "doc_id"), "jaccard-hot")
+    several = materialize(hot.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key"), "jaccard-several")
     lost = hot.join(several, "key").groupBy("doc_id", F.col("key").bitwiseAND(63).cast("long").alias("band")).agg(F.count("*").alias("lost"))
     parts = of("k").select(F.col("a").alias("doc_id"), F.col("b").alias("band"), F.col("c").alias("parts"), F.col("d").alias("needed")).distinct()
     left = parts.join(lost, ["doc_id", "band"], "left").filter("parts - coalesce(lost, 0) < needed").select("doc_id", "band")
-    left = left.join(rep.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    more = materialize(_linked(rest, texts).unionByName(_leftover_links(left, docs, labels, meta)), "jaccard-links")
+    left = materialize(left.join(rep.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi"), "jaccard-left")
+    more = _linked(rest, texts)
+    if left.limit(1).count():
+        more = more.unionByName(_leftover_links(left, docs, labels, meta))
+    more = materialize(more, "jaccard-links")
     final = labels
     if more.limit(1).count():
         final = labelled(components(links.unionByName(more)))
