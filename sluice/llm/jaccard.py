@@ -12,8 +12,8 @@ than d non-empty parts shares one with each of its partners (pigeonhole). Parts
 * Pairs pass the size test, then the Hamming distance of folded bit sketches, which never exceeds the symmetric
   difference; then the shingles of both texts decide.
 * Hot values whose members are one component by then lose nothing. A set whose other parts don't exceed d, because of hot
-  values of several components, is left over; left-over sets meet by a prefix join on their rarest shingles instead, with
-  rounds of few pairs a document before all pairs of different components.
+  values of several components, is left over; left-over sets meet by a prefix join on their rarest shingles instead and,
+  in groups of near copies, on their differences from one of them.
 
 Edge cases: null, empty and white texts have the empty set and link with nothing; fewer than five words are one shingle; equal
 texts and equal sets link; rows with equal doc_id are one node; a null doc_id links with nothing and has a null component; an
@@ -22,7 +22,6 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections.abc import Iterator
 
@@ -42,7 +41,6 @@ HOT = 20  # sets that may share a value and still give all their pairs
 PIVOT_VALUES, PIVOT_SHARE = 4, 0.25
 FLUSH = 700_000  # keys a task holds before it deals them out
 MANY = 10_000  # sets, at most, that count as those of very many documents
-TRIED = 3  # documents that a left-over one tries in a round
 _PAIRS = 500_000  # pairs made at once
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WORDS)]
 
@@ -311,25 +309,16 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "jaccard-texts")
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
-    """(labels after links (a, b) joined their components, how many components went)."""
-    c = lambda x: labels.select(F.col("doc_id").alias(x), F.col("component").alias(f"c_{x}"))
-    edges = links.join(c("a"), "a").join(c("b"), "b").filter("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
-    to = materialize(components(edges).filter("node <> component"), "jaccard-merged")
-    new = labels.join(to.withColumnRenamed("component", "to"), F.col("component") == F.col("node"), "left")
-    return materialize(new.select("doc_id", F.coalesce("to", "component").alias("component")), "jaccard-labels"), to.count()
-
-
 def _leftover_links(left: DataFrame, docs: DataFrame, labels: DataFrame, meta: DataFrame) -> DataFrame:
     """Links between left-over documents of different components: a prefix join on their shingles, rarest first.
 
-    Documents of the same prefix shingle first try one of them each, another one every round, and of those the TRIED they share
-    most shingles with; so a large group of near copies becomes one component by a few pairs a document. When a round joins few
-    components, all pairs of documents that share a prefix shingle and aren't one component by then are tried.
+    Documents that share many of their rare shingles have one of them as their root, and all are compared with it first. Pairs
+    with the same root then meet by their differences from it, pairs with different roots by their shingles. So a large group of
+    near copies takes one pair a document, and pairs of those that differ from its root in the same places.
     """
-    texts = _texts(docs, left.select("doc_id").distinct())
-    meta = materialize(meta.join(left.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi"), "jaccard-left")
-    now = materialize(labels.join(left.select("doc_id").distinct(), "doc_id", "left_semi"), "jaccard-labels")
+    ids = materialize(left.select("doc_id").distinct(), "jaccard-left")
+    texts = _texts(docs, ids)
+    meta = materialize(meta.join(ids.withColumnRenamed("doc_id", "a"), "a", "left_semi"), "jaccard-left")
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHash()
@@ -338,41 +327,50 @@ def _leftover_links(left: DataFrame, docs: DataFrame, labels: DataFrame, meta: D
                 s = shingle_set(words_of(text), hashes).view(np.int64)
                 yield pd.DataFrame({"doc_id": doc, "n": len(s), "token": s})
 
-    tokens = materialize(texts.mapInPandas(explode, "doc_id long, n long, token long"), "jaccard-tokens")
-    seen = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")), "jaccard-df")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token"))
-    first = materialize(tokens.join(seen, "token").withColumn("k", rank).filter("k <= n - ceil(0.8 * n) + 1 and df > 1").select("doc_id", "n", "token", "k"), "jaccard-prefix")
-    # of sets of n and m shingles, in common order, the first common one is at these places at most: 9 |A n B| >= 4 (n + m) in a link
-    near = lambda n, m, k, j: f"{k} <= {n} - (4 * ({n} + {m}) + 8) div 9 + 1 and {j} <= {m} - (4 * ({n} + {m}) + 8) div 9 + 1"
-    docs_left, found, turn = now.count(), [], 0
-    while True:
-        turn += 1
-        at = first.join(now, "doc_id")
-        pivot = F.min_by(F.struct(F.col("doc_id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"), F.col("k").alias("pk")), F.xxhash64("doc_id", F.lit(turn)))
-        pivots = at.groupBy("token").agg(pivot.alias("v"), (F.min("component") != F.max("component")).alias("many")).filter("many").select("token", "v.*")
-        pivots = materialize(pivots, "jaccard-pivots")
-        met = at.join(pivots, "token").filter(f"component <> pc and {near('n', 'pn', 'k', 'pk')}").groupBy("doc_id", "p").agg(F.count("*").alias("shared"))
-        best = met.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("shared"), "p"))).filter(F.col("k") <= TRIED)
-        pairs = best.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
-        found.append(materialize(_linked(_close(pairs, meta), texts), "jaccard-links"))
-        now, joined = _merged(now, found[-1])
-        if joined <= docs_left / 100:
-            break
+    tokens = texts.mapInPandas(explode, "doc_id long, n long, token long")
+    first = materialize(_ranked(tokens, []).filter("k <= n - ceil(0.8 * n) + 1 and df > 1").select("doc_id", "n", "token", "k"), "jaccard-prefix")
     root = _roots(first)
     to_root = root.filter("doc_id <> root").select(F.least("doc_id", "root").alias("a"), F.greatest("doc_id", "root").alias("b")).distinct()
-    found.append(materialize(_linked(_close(to_root, meta), texts), "jaccard-links"))
-    now, _ = _merged(now, found[-1])
-    at = first.join(now, "doc_id").join(root, "doc_id")
-    mixed = materialize(at.groupBy("token").agg((F.min("component") != F.max("component")).alias("many")).filter("many").select("token"), "jaccard-mixed")
-    at = at.join(mixed, "token")
-    prefix = at.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda t: t["token"]).alias("prefix"))
-    at = materialize(at.join(prefix, "doc_id"), "jaccard-mixed")
-    side = lambda x: at.select("token", F.col("doc_id").alias(x), *[F.col(c).alias(f"{v}{x}") for c, v in (("component", "c"), ("n", "n"), ("k", "k"), ("prefix", "p"), ("root", "r"))])
+    links = materialize(_linked(_close(to_root, meta), texts), "jaccard-links")
+    # a component of which a document links with its root is the root's component; equal labels still mean one component
+    of = _joined(root, links).join(labels, "doc_id").join(labels.select(F.col("doc_id").alias("root"), F.col("component").alias("to")), "root")
+    of = of.filter("component <> to").groupBy("component").agg(F.min("to").alias("to"))
+    now = root.join(labels, "doc_id").join(of, "component", "left").select("doc_id", "root", F.coalesce("to", "component").alias("component"))
+    now = materialize(now, "jaccard-labels")
+    pairs = _pairs_of_roots(first, now).unionByName(_pairs_of_root(now, texts)).distinct()
+    return links.unionByName(_linked(_close(pairs, meta), texts))
+
+
+def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, root) of documents whose link with their root was found."""
+    both = links.select(F.col("a").alias("doc_id"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("doc_id"), F.col("a").alias("root")))
+    return root.join(both, ["doc_id", "root"], "left_semi")
+
+
+def _ranked(tokens: DataFrame, within: list[str]) -> DataFrame:
+    """Adds df, in how many documents (of the same `within`) a token is, and k, its place among its document's, rarest first."""
+    tokens = materialize(tokens, "jaccard-tokens")
+    seen = tokens.groupBy(*within, "token").agg(F.count("*").alias("df"))
+    return tokens.join(seen, [*within, "token"]).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token")))
+
+
+def _mixed(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of keys that documents of several components have, each with its document's tokens in order, written."""
+    mixed = rows.groupBy(*key).agg((F.min("component") != F.max("component")).alias("many")).filter("many").select(*key)
+    rows = rows.join(mixed, key)
+    prefix = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda t: t["token"]).alias("prefix"))
+    return materialize(rows.join(prefix, "doc_id"), "jaccard-mixed")
+
+
+def _pairs_of_roots(first: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different roots and components that may link. In a link 9 |A n B| >= 4 (n + m), and of two sets in one order of
+    shingles with c in common, the first common one is among the first n - c + 1."""
+    rows = _mixed(first.join(labels, "doc_id"), ["token"])
+    side = lambda x: rows.select("token", F.col("doc_id").alias(x), *[F.col(c).alias(f"{v}{x}") for c, v in (("component", "c"), ("n", "n"), ("k", "k"), ("prefix", "p"), ("root", "r"))])
     x, y = side("a").filter("ka <= na - (8 * na + 8) div 9 + 1"), side("b")  # the smaller set and the larger one
-    meet = f"(na < nb or na = nb and a < b) and ca <> cb and ra <> rb and {near('na', 'nb', 'ka', 'kb')} and element_at(array_intersect(pa, pb), 1) = x.token"  # a pair once, at its first
-    pairs = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(meet)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found.append(_linked(_close(pairs.unionByName(_pairs_of_root(root, now, texts)).distinct(), meta), texts))
-    return materialize(functools.reduce(DataFrame.unionByName, found), "jaccard-links")
+    common = "(4 * (na + nb) + 8) div 9"
+    meet = f"(na < nb or na = nb and a < b) and ca <> cb and ra <> rb and ka <= na - {common} + 1 and kb <= nb - {common} + 1 and element_at(array_intersect(pa, pb), 1) = x.token"  # a pair once, at its first
+    return x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(meet)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _roots(first: DataFrame) -> DataFrame:
@@ -385,7 +383,7 @@ def _roots(first: DataFrame) -> DataFrame:
     return materialize(root, "jaccard-roots")
 
 
-def _pairs_of_root(root: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+def _pairs_of_root(labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of different components with the same root r that may link, when all links with roots are known.
 
     A and B of n and m shingles differ in |A r| + |B r| - 2 |A r n B r|, with X r the difference of X and r. They link if that
@@ -402,17 +400,11 @@ def _pairs_of_root(root: DataFrame, labels: DataFrame, texts: DataFrame) -> Data
                 more, less = np.setdiff1d(s, t, assume_unique=True), mix64(np.setdiff1d(t, s, assume_unique=True) ^ np.uint64(1))
                 yield pd.DataFrame({"doc_id": doc, "root": of, "n": len(s), "m": len(more) + len(less), "token": np.concatenate((more, less)).view(np.int64)})
 
-    both = root.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("root"), F.col("text").alias("root_text")), "root")
-    tokens = materialize(both.mapInPandas(explode, "doc_id long, root long, n long, m long, token long"), "jaccard-tokens")
-    seen = materialize(tokens.groupBy("root", "token").agg(F.count("*").alias("df")), "jaccard-df")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token"))
-    rows = tokens.join(seen, ["root", "token"]).withColumn("k", rank).filter("df > 1").join(labels, "doc_id").select("root", "token", "doc_id", "component", "n", "m", "k")
+    both = labels.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("root"), F.col("text").alias("root_text")), "root")
+    tokens = both.select("doc_id", "root", "text", "root_text").mapInPandas(explode, "doc_id long, root long, n long, m long, token long")
     # the least common count for a partner that differs from the root in nothing: no prefix is longer
-    rows = rows.filter("k <= m - greatest(1, (m - (n + 5 * n div 4) div 9 + 1) div 2) + 1")
-    mixed = materialize(rows.groupBy("root", "token").agg((F.min("component") != F.max("component")).alias("many")).filter("many").select("root", "token"), "jaccard-mixed")
-    rows = rows.join(mixed, ["root", "token"])
-    prefix = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda t: t["token"]).alias("prefix"))
-    rows = materialize(rows.join(prefix, "doc_id"), "jaccard-mixed")
+    rows = _ranked(tokens, ["root"]).filter("df > 1 and k <= m - greatest(1, (m - (n + 5 * n div 4) div 9 + 1) div 2) + 1")
+    rows = _mixed(rows.join(labels.select("doc_id", "component"), "doc_id").select("root", "token", "doc_id", "component", "n", "m", "k"), ["root", "token"])
     side = lambda x: rows.select("root", "token", F.col("doc_id").alias(x), *[F.col(c).alias(f"{v}{x}") for c, v in (("component", "c"), ("n", "n"), ("m", "m"), ("k", "k"), ("prefix", "p"))])
     least = "(ma + mb - (na + nb) div 9 + 1) div 2"  # elements that both differences must have
     meet = f"a < b and ca <> cb and ka <= ma - {least} + 1 and kb <= mb - {least} + 1 and element_at(array_intersect(pa, pb), 1) = x.token"
