@@ -78,3 +78,34 @@ BID_TYPE = {
 AUTO_MERGE, REVIEW, REBID_DAYS, NAME_FLOOR, RELATED, TRIGRAM = 0.9, 0.6, 45, 0.5, 0.85, 0.25
 CANDIDATES = 400
 SHOP = (40.3462, -79.9482)
+
+# Patterns of the rules on texts; fixed values, without regard to case.
+NOISE_SUBJECT = r"(unsubscribe|newsletter|webinar|your (weekly|daily) digest|password reset|invoice #|statement of account|out of office|automatic reply)"
+BID_HINT = (
+    r"(invitation to bid|invited to bid|bid (due|date|package|form|invite)|request for (proposal|budget|quote|qualifications)|\bitb\b|\brfp\b|\brfq\b|addend|"
+    r"pre-?bid|bid opening|scope of work|proposal due)"
+)
+REMOVAL = (
+    r"\b(remove[sd]?|removal|delete[sd]?|deletion|descope[sd]?|de-scope[sd]?|omit(?:s|ted)?|no longer (?:included|in scope|part of)|strike[sn]?|excluded from this bid)\b"
+)
+CANCELLED = (
+    r"\b(cancel(?:led|ed|lation|ation)?|withdraw(?:n|al)?|(?:project|bid|solicitation)\s+(?:is\s+)?(?:on\s+hold|shelved|postponed indefinitely)|not (?:going|moving) forward)\b"
+)
+LOST = (
+    r"\b(awarded to (?:another|a different|other)|another (?:firm|contractor|bidder)|unsuccessful|were not (?:the )?(?:successful|low)|not been selected|regret to inform|"
+    r"thank you for bidding|decided to (?:go|proceed) with another)\b"
+)
+WON = r"\b(pleased to (?:award|inform)|you (?:have been|are being) awarded|(?:intent|letter) of intent to award(?: to you)?|congratulations[, ].{0,40}\baward)\b"
+QUOTE_MARKS = [r"\n\s*-{2,}\s*Original Message\s*-{2,}", r"\nOn .{5,120} wrote:\s*\n", r"\nFrom:\s.*\nSent:\s.*\n", r"\n_{5,}\n"]
+PLATFORM_IDS = [
+    ("bc", r"buildingconnected\.com/(?:projects|bids|rfp)/([0-9a-f]{12,})"),
+    ("procore", r"procore\.com/\d+/(?:[\w-]+/)*?(?:bid_packages|packages|projects)/(\d+)"),
+    ("pkg", r"[?&]bid_?package_?id=([\w-]+)"),
+    ("proj", r"[?&](?:projectid|project_id)=([\w-]+)"),
+]
+BODY_SCAN, FILE_SCAN = 2_000, 3_000  # characters that the pre-filter looks at
+DIGEST_FLAGS = [
+    "prevailing_wage", "davis_bacon", "bid_bond", "pp_bond", "mandatory_prebid", "open_shop_indicated", "sealed_bid", "date_conflict", "possible_duplicate", "orphan_update",
+    "locked_conflict", "removed_by_addendum", "snooze_overridden", "reactivated", "outcome_conflict",
+]
+FEED_STATUSES = ["bidding", "undecided", "submitted", "passed", "lost", "cancelled"]

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import zoneinfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HOME_ZONE = "America/New_York"
-ZONES = ["America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/Phoenix", "America/Anchorage", "Pacific/Honolulu", "UTC"]
+ZONES = sorted(zoneinfo.available_timezones() - {"Factory", "localtime", "posixrules"})
 WEEKDAYS = {d: i for i, d in enumerate(["mon", "tue", "wed", "thu", "fri", "sat", "sun"])}
 MICROS_PER_DAY = 86_400_000_000
 
 
 def zone_or_home(zone: Column) -> Column:
+    """The zone if there is one of that name, else the home zone."""
     return F.when(zone.isin(ZONES), zone).otherwise(HOME_ZONE)
 
 
@@ -50,6 +53,25 @@ def days_between(later: Column, earlier: Column) -> Column:
     return (micros(later) - micros(earlier)) / float(MICROS_PER_DAY)
 
 
+def time_known(ts: Column, parsed: Column, claimed: Column) -> Column:
+    """Whether a time of day is known: it was given, and midnight only if it was claimed as a time."""
+    midnight = (F.hour(ts) == 0) & (F.minute(ts) == 0)
+    return F.coalesce(ts.isNotNull() & parsed & (~midnight | F.coalesce(claimed, F.lit(False))), F.lit(False))
+
+
+def display(ts: Column, now: Column, known: Column) -> Column:
+    """TODAY, tomorrow or Mon Oct 5, with the time of day where it is known; both in the home zone's local time."""
+    days = F.datediff(ts, now)
+    day = F.when(days == 0, "TODAY").when(days == 1, "tomorrow").otherwise(F.date_format(ts, "EEE MMM d"))
+    return F.when(ts.isNull(), "Due date unknown").when(known, F.concat(day, F.lit(", "), F.date_format(ts, "h:mm a"))).otherwise(day)
+
+
+def days_left(ts: Column, now: Column) -> Column:
+    """passed, today, 1 day, 2 days; empty without a date."""
+    d = F.datediff(ts, now)
+    return F.when(ts.isNull(), "").when(d < 0, "passed").when(d == 0, "today").otherwise(F.concat(d.cast("string"), F.when(d == 1, " day").otherwise(" days")))
+
+
 def week_start(ts: Column) -> Column:
     return F.date_trunc("week", ts)
 

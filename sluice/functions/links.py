@@ -41,13 +41,18 @@ def host_class(h: Column) -> Column:
 def platform_id(url: Column) -> Column:
     """One id a link, the most specific first, with its name space; null when there is none."""
     out = []
-    for space, pattern in (("bc", r"buildingconnected\.com/.*?(?:opportunit(?:y|ies)|bid-?packages?)/([A-Za-z0-9]+)"), ("procore", r"procore\.com/(?:.*?/)?projects?/([0-9]+)"), ("pkg", r"[?&/](?:package|pkg)(?:_?id)?[=/]([A-Za-z0-9-]+)"), ("proj", r"[?&/](?:project)(?:_?id)?[=/]([A-Za-z0-9-]+)")):
+    for space, pattern in K.PLATFORM_IDS:
         found = F.lower(F.regexp_extract(url, f"(?i){pattern}", 1))
         out.append(F.when(found != "", F.concat(F.lit(f"{space}:"), found)))
     return F.coalesce(*out)
 
 
+def platform_ids(urls: Column) -> Column:
+    """Sorted distinct ids of an array of links."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(urls, platform_id), lambda x: x.isNotNull())))
+
+
 def thread_ids(references: Column, in_reply_to: Column, message_id: Column) -> Column:
     """References, the answered message and the message itself, without blanks, in order of the alphabet."""
     every = F.concat(F.coalesce(references, F.array().cast("array<string>")), F.array(in_reply_to, message_id))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(every, F.trim), lambda x: x.isNotNull() & (x != ""))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(every, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))))

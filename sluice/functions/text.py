@@ -32,9 +32,13 @@ def normalize_domain(c: Column) -> Column:
 
 
 def organisation(c: Column) -> Column:
-    """An organisation's name: initials joined, marks to spaces, lower case."""
-    joined = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\b([a-z])\.(?=[a-z]\b)", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(joined, r"[^a-z0-9]+", " "), r"\s+", " "))
+    """An organisation's name: marks to spaces, single spaces, lower case."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+def organisation_squashed(c: Column) -> Column:
+    """The same with marks dropped, so that initials join: P.J. Dick is pj dick."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}\s]+", ""), r"\s+", " "))
 
 
 def organisation_core(c: Column) -> Column:
@@ -77,9 +81,9 @@ def html_to_text(c: Column) -> Column:
 
 
 def trim_quoted(c: Column) -> Column:
-    """The text before the first mark of a quoted or forwarded message."""
-    marks = r"(?m)^(>|-{2,} ?Original Message|_{10,}|On .{1,200} wrote:|From: )"
-    return F.regexp_replace(F.element_at(F.split(c, marks, 2), 1), r"\s+$", "")
+    """The text before the first mark of a quoted or forwarded message, trimmed."""
+    marks = "(?id)(" + "|".join(K.QUOTE_MARKS) + ")"
+    return F.regexp_replace(F.element_at(F.split(c, marks, 2), 1), r"^\s+|\s+$", "")
 
 
 def excerpt(c: Column, most: int = 200) -> Column:
@@ -93,18 +97,18 @@ def first_words(c: Column, most: int = 60) -> Column:
 
 
 def location_label(c: Column) -> Column:
-    """subject, body or attachment:name[:pN]; anything else is body."""
-    low = F.lower(F.trim(c))
-    page = F.regexp_extract(low, r"(?:page|p)\.? ?([0-9]+)", 1)
-    name = F.regexp_extract(low, r"([\w.-]+\.(?:pdf|docx|xlsx|txt|zip))", 1)
-    return F.when(low == "subject", "subject").when(name != "", F.concat(F.lit("attachment:"), name, F.when(page != "", F.concat(F.lit(":p"), page)).otherwise(""))).otherwise("body")
+    """subject, body or attachment:name[:pN], white space collapsed; anything else is null, as it isn't a location."""
+    flat = F.trim(F.regexp_replace(c, r"\s+", " "))
+    name = F.trim(F.regexp_extract(flat, r"(?i)^attachment:(.*?)(?::p(\d+))?$", 1))
+    page = F.regexp_extract(flat, r"(?i)^attachment:(.*?)(?::p(\d+))?$", 2).try_cast("int")
+    return F.when(F.lower(flat).isin("subject", "body"), F.lower(flat)).when(name != "", F.concat(F.lit("attachment:"), name, F.coalesce(F.concat(F.lit(":p"), page.cast("string")), F.lit(""))))
 
 
 def stated_range(c: Column) -> Column:
-    """A money range as it is written, such as $1.2 - 1.5 million; null when there is none."""
+    """A money range as it is written, such as $1.2 - 1.5 million, white space collapsed; null when there is none."""
     number = r"\$?\s*\d[\d,.]*\s*(?:million|billion|thousand|[mkb])?"
     found = F.regexp_extract(c, f"(?i)({number}\\s*(?:-|–|—|to)\\s*{number})", 1)
-    return F.nullif(F.trim(found), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(found, r"\s+", " ")), F.lit(""))
 
 
 def humanize(c: Column) -> Column:
@@ -120,46 +124,55 @@ def short_location(city: Column, state: Column) -> Column:
 
 
 def safe_filename(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"^.*[/\\]", ""), r"[^A-Za-z0-9._-]+", "_")
+    """Without folders and control characters; attachment where nothing is left."""
+    name = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1f/\\]", "_"))
+    return F.when(name == "", "attachment").otherwise(name)
 
 
 def sniff_mime(content: Column, declared: Column) -> Column:
-    """The kind that the first bytes show; the declared one where they show none."""
+    """The kind that the first bytes show; the declared one where they show none. Portals send pages that are named as PDF."""
     head = F.hex(F.substring(content, 1, 8))
-    return (
-        F.when(head.startswith("25504446"), "application/pdf").when(head.startswith("504B0304"), "application/zip")
-        .when(head.startswith("D0CF11E0A1B11AE1"), "application/x-ole").when(head.startswith("89504E470D0A1A0A"), "image/png")
-        .when(head.startswith("FFD8FF"), "image/jpeg").otherwise(declared)
-    )
+    page = F.lower(F.ltrim(F.decode(F.substring(content, 1, 64), "ISO-8859-1")))
+    return F.when(head.startswith("25504446"), "application/pdf").when(head.startswith("504B0304"), "application/zip").when(page.startswith("<!doctype html") | page.startswith("<html"), "text/html").otherwise(declared)
 
 
-REMOVAL = r"(?i)\b(remov|delet|omit|exclud|no longer|not in (the )?contract|strike|struck)"
+def _is(c: Column, pattern: str) -> Column:
+    return c.rlike(f"(?id){pattern}")
 
 
-def removal_clauses(c: Column) -> Column:
-    """The clauses that state a removal."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), r"[.;\n]"), lambda s: s.rlike(REMOVAL))
+def states_removal(c: Column) -> Column:
+    return _is(F.coalesce(c, F.lit("")), K.REMOVAL)
 
 
 def removed_items(changes: Column, items: Column) -> Column:
-    """Items named in a removal clause; where names overlap, the longest in its clause wins."""
+    """Items named as whole words in a clause that states a removal; of those in one clause, none that another one's name holds."""
     spoken = lambda i: F.replace(i, F.lit("_"), F.lit(" "))
-    clauses = F.transform(removal_clauses(changes), lambda s: F.lower(s))
+    clauses = F.filter(F.split(F.coalesce(changes, F.lit("")), r"[.;\n]"), states_removal)
+    words = lambda s: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")), F.lit(" "))
+
+    def of(clause: Column) -> Column:
+        named = F.filter(items, lambda i: words(clause).contains(F.concat(F.lit(" "), spoken(i), F.lit(" "))))
+        return F.filter(named, lambda i: ~F.exists(named, lambda j: (j != i) & spoken(j).contains(spoken(i))))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(clauses, of))))
 
-    def hit(clause: Column, i: Column) -> Column:
-        longer = F.exists(items, lambda j: (F.length(j) > F.length(i)) & spoken(j).contains(spoken(i)) & clause.contains(spoken(j)))
-        return clause.contains(spoken(i)) & ~longer
 
-    return F.array_sort(F.filter(items, lambda i: F.exists(clauses, lambda s: hit(s, i))))
+def merged_scope(old: Column, new: Column, changes: Column) -> Column:
+    """struct(value, added, removed) of a scope: the union of both, without what `changes` (null: nothing) says is removed."""
+    none = F.array().cast("array<string>")
+    old, new = F.coalesce(old, none), F.coalesce(new, none)
+    removed = removed_items(changes, F.array_union(old, new))
+    return F.struct(
+        F.array_sort(F.array_except(F.array_union(old, new), removed)).alias("value"),
+        F.array_sort(F.array_except(F.array_except(new, old), removed)).alias("added"), F.array_sort(F.array_intersect(removed, old)).alias("removed"),
+    )
 
 
-def award_outcome(c: Column) -> Column:
+def award_outcome(*texts: Column) -> Column:
     """cancelled before won or lost; both won and lost say nothing."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    cancelled = low.rlike(r"\b(cancel+ed|cancel+ation|will not proceed|on hold indefinitely|withdrawn)\b")
-    lost = low.rlike(r"\b(not (been )?(selected|awarded)|unsuccessful|awarded to (another|others)|went with another)\b")
-    won = low.rlike(r"\b(congratulations|you have been (awarded|selected)|notice of award|letter of intent)\b") & ~low.rlike(r"\bnot (been )?(selected|awarded)\b")
-    return F.when(cancelled, "cancelled").when(won & ~lost, "won").when(lost & ~won, "lost")
+    c = F.concat_ws(" ", *texts)
+    won, lost = _is(c, K.WON), _is(c, K.LOST)
+    return F.when(_is(c, K.CANCELLED), "cancelled").when(won & ~lost, "won").when(lost & ~won, "lost")
 
 
 def addendum_number(c: Column) -> Column:
@@ -182,10 +195,27 @@ def ics_escape(c: Column) -> Column:
     return c
 
 
-def bid_noise(subject: Column, body: Column, attachments: Column, links: Column) -> Column:
-    """Whether a message can be left unread: no hint of a bid, and a noisy subject or next to nothing in it."""
-    hint = r"(?i)\b(bids?|proposals?|quotes?|rfp|rfq|itb|invitation|addend(um|a)|plans|specs|due|pre-?bid|estimat\w*|pricing)\b"
-    noise = r"(?i)(unsubscribe|newsletter|webinar|out of office|password reset|verify your|receipt|weekly digest)"
-    hinted = F.coalesce(subject, F.lit("")).rlike(hint) | F.substring(F.coalesce(body, F.lit("")), 1, 2000).rlike(hint)
-    bare = (attachments == 0) & (F.length(F.trim(F.coalesce(body, F.lit("")))) < 40) & (links == 0)
-    return ~hinted & (F.coalesce(subject, F.lit("")).rlike(noise) | bare)
+def ics_fold(c: Column, most: int = 75) -> Column:
+    """A line folded so that none has more than `most` octets, the space that starts a further line included; letters stay whole."""
+    start = F.struct(c.substr(1, 0).alias("out"), F.lit(0).alias("used"))
+
+    def step(s: Column, ch: Column) -> Column:
+        size = F.octet_length(ch)
+        over = s["used"] + size > most
+        return F.struct(F.concat(s["out"], F.when(over, "\r\n ").otherwise(""), ch).alias("out"), F.when(over, size + 1).otherwise(s["used"] + size).alias("used"))
+
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.aggregate(F.split(c, ""), start, step, lambda s: s["out"]))
+
+
+def bid_noise(subject: Column, body: Column, attachments: Column, links: Column, sender: Column | None = None, files: Column | None = None) -> Column:
+    """Whether a message can be left unread: no hint of a bid, and a noisy subject or next to nothing in it.
+
+    attachments and links: how many there are. Hints are sought in the subject, the sender, the head of the body, and names and
+    heads of the files (array of struct filename, text).
+    """
+    subject, body = F.coalesce(subject, F.lit("")), F.coalesce(body, F.lit(""))
+    parts = [subject, *([sender] if sender is not None else []), F.substring(body, 1, K.BODY_SCAN)]
+    if files is not None:
+        parts.append(F.array_join(F.transform(files, lambda f: F.concat_ws("\n", f["filename"], F.substring(f["text"], 1, K.FILE_SCAN))), "\n"))
+    bare = (attachments == 0) & (F.length(F.trim(body)) < 40) & (links == 0)
+    return ~_is(F.concat_ws("\n", *parts), K.BID_HINT) & (_is(subject, K.NOISE_SUBJECT) | bare)

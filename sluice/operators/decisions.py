@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 from sluice.functions import constants as K
-from sluice.functions.text import ics_escape
+from sluice.functions.text import ics_escape, ics_fold
 
 
 def allowed(now: Column, to: Column) -> Column:
@@ -119,8 +119,26 @@ def calendar_events(opps: DataFrame) -> DataFrame:
     return events.select("id", "name", F.col("e.kind").alias("kind"), F.col("e.at").alias("at"), F.when(off, "CANCELLED").otherwise("CONFIRMED").alias("state"))
 
 
+def feed(opps: DataFrame, now: Column, user: str | None = None, statuses: list[str] | None = None, days: int = 7) -> DataFrame:
+    """What a calendar shows: the asked statuses, closed ones only while active within `days`; a person's feed has what is theirs
+    and what is undecided and nobody's."""
+    open_ = F.col("status").isin("bidding", "undecided", "submitted")
+    shown = F.col("status").isin(statuses or K.FEED_STATUSES) & (open_ | (F.col("last_activity") >= now - F.make_dt_interval(days=F.lit(days))))
+    if user is not None:
+        shown = shown & ((F.col("assignee") == user) | (F.col("assignee").isNull() & (F.col("status") == "undecided")))
+    return opps.filter(shown)
+
+
 def ics_events(events: DataFrame) -> DataFrame:
     """A VEVENT text a row."""
     stamp = F.date_format("at", "yyyyMMdd'T'HHmmss'Z'")
     lines = [F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("kind"), F.lit("-"), F.col("id").cast("string")), F.concat(F.lit("DTSTART:"), stamp), F.concat(F.lit("SUMMARY:"), ics_escape(F.col("name"))), F.concat(F.lit("STATUS:"), F.col("state")), F.lit("END:VEVENT")]
-    return events.select("id", "kind", F.concat_ws("\r\n", *lines).alias("vevent"))
+    return events.select("id", "kind", F.concat_ws("\r\n", *map(ics_fold, lines)).alias("vevent"))
+
+
+def ics_calendars(events: DataFrame, key: str) -> DataFrame:
+    """A whole calendar as text for each key: its events in order, inside the frame. A calendar is one feed's, some hundred events."""
+    rows = ics_events(events).join(events.select("id", "kind", key), ["id", "kind"])
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "kind", "vevent"))), lambda e: e["vevent"]), "\r\n")
+    frame = lambda x: F.concat(F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//sluice//EN\r\nCALSCALE:GREGORIAN\r\nMETHOD:PUBLISH\r\n"), x, F.lit("\r\nEND:VCALENDAR\r\n"))
+    return rows.groupBy(key).agg(frame(body).alias("ics"))

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import constants as K
-from sluice.functions.similarity import name_ratio, trigrams
-from sluice.functions.text import normalize_domain, organisation, organisation_core
+from sluice.functions.similarity import edit_ratio
+from sluice.functions.text import normalize_domain, organisation, organisation_core, organisation_squashed
+from sluice.operators.prefix import candidates, ratio_sql, text_grams
 
 
 def read_seed(spark: SparkSession, path: str) -> DataFrame:
     """CSV of canonical_name, kind, domains, aliases; the last two are lists with semicolons."""
-    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != "")
+    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
     raw = spark.read.csv(path, header=True, schema="canonical_name string, kind string, domains string, aliases string")
     return raw.withColumns({"domains": parts(F.col("domains")), "aliases": parts(F.col("aliases"))})
 
@@ -23,25 +24,38 @@ def seed(directory: DataFrame, rows: DataFrame, key: str = "canonical_name") ->
     return directory.unionByName(new, allowMissingColumns=True)
 
 
+def is_platform(domain: Column) -> Column:
+    """Whether a normal domain is a bidding platform's or below it."""
+    c = domain.isin(K.PLATFORM_DOMAINS)
+    for p in K.PLATFORM_DOMAINS:
+        c = c | domain.endswith(f".{p}")
+    return c
+
+
 def by_domain(messages: DataFrame, domains: DataFrame) -> DataFrame:
     """message_id, gc_id by the sender's domain; platforms and free mail say nothing. Of several the smallest id."""
-    d = messages.select("message_id", normalize_domain(F.col("sender")).alias("domain")).filter(~F.col("domain").isin(K.PLATFORM_DOMAINS + K.GENERIC_DOMAINS))
+    d = messages.select("message_id", normalize_domain(F.col("sender")).alias("domain")).filter(~F.col("domain").isin(K.GENERIC_DOMAINS) & ~is_platform(F.col("domain")))
     known = domains.select(normalize_domain(F.col("domain")).alias("domain"), "gc_id")
     return d.join(known, "domain").groupBy("message_id").agg(F.min("gc_id").alias("gc_id"))
 
 
-def similar_names(left: DataFrame, right: DataFrame, least: float = 0.9, block: float = 0.5) -> DataFrame:
-    """(left_id, right_id, ratio) of names alike by edits or by word sets: an equi-join on rare trigrams, then the exact ratio.
-
-    Names at least `least` alike share most trigrams of their core, so a pair must share `block` of the shorter one's.
-    """
-    side = lambda d, s: d.select(F.col("id").alias(f"{s}_id"), organisation(F.col("name")).alias(f"{s}_name"), organisation_core(F.col("name")).alias(f"{s}_core")).withColumn(f"{s}_grams", trigrams(F.col(f"{s}_core")))
+def similar_names(left: DataFrame, right: DataFrame, least: float = 0.9) -> DataFrame:
+    """(left_id, right_id, ratio) of names whose edit ratio, or that of their cores, reaches `least`: exact candidates by rare
+    trigrams of either form, then the ratio."""
+    forms = {"name": organisation, "core": organisation_core}
+    side = lambda d, s: d.select(F.col("id").alias(f"{s}_id"), *[f(F.col("name")).alias(f"{s}_{k}") for k, f in forms.items()])
     a, b = side(left, "left"), side(right, "right")
-    ga = a.select("left_id", F.size("left_grams").alias("left_n"), F.explode("left_grams").alias("gram"))
-    gb = b.select("right_id", F.size("right_grams").alias("right_n"), F.explode("right_grams").alias("gram"))
-    pairs = ga.join(gb, "gram").groupBy("left_id", "right_id").agg(F.count("*").alias("n"), F.min("left_n").alias("x"), F.min("right_n").alias("y")).filter(F.col("n") >= block * F.least("x", "y"))
+    grams = lambda d, s, x, k: d.select(F.col(f"{s}_id").alias(x), text_grams(F.col(f"{s}_{k}")).alias("grams"))
+    # ids of both sides may be equal, and candidates() leaves pairs of equal ids to one side alone
+    mark = lambda d, x: d.withColumn(x, F.concat(F.lit(f"{x}:"), F.col(x).cast("string")))
+    found = None
+    for k in forms:
+        pairs = candidates(mark(grams(a, "left", "a", k), "a"), mark(grams(b, "right", "b", k), "b"), *ratio_sql(least))
+        found = pairs if found is None else found.unionByName(pairs)
+    types = {s: dict(d.dtypes)[f"{s}_id"] for d, s in ((a, "left"), (b, "right"))}
+    pairs = found.distinct().select(F.substring("a", 3, 1 << 30).cast(types["left"]).alias("left_id"), F.substring("b", 3, 1 << 30).cast(types["right"]).alias("right_id"))
     both = pairs.join(a, "left_id").join(b, "right_id")
-    ratio = F.greatest(name_ratio("left_name", "right_name"), name_ratio("left_core", "right_core"))
+    ratio = F.greatest(edit_ratio("left_name", "right_name"), edit_ratio("left_core", "right_core"))
     return both.select("left_id", "right_id", ratio.alias("ratio")).filter(F.col("ratio") >= least)
 
 
@@ -49,10 +63,11 @@ def resolve(messages: DataFrame, directory: DataFrame, domains: DataFrame, alias
     """message_id, gc_id, confidence, method: by domain (.98), alias (.95), likeness (its ratio), or none."""
     dom = by_domain(messages, domains).select("message_id", "gc_id", F.lit(0.98).alias("confidence"), F.lit("domain").alias("method"), F.lit(1).alias("rank"))
     names = messages.filter("gc_name is not null").select("message_id", organisation(F.col("gc_name")).alias("norm"), "gc_name")
-    known = aliases.select(organisation(F.col("alias")).alias("norm"), "gc_id").unionByName(directory.select(organisation(F.col("name")).alias("norm"), F.col("id").alias("gc_id")))
-    ali = names.join(known, "norm").groupBy("message_id").agg(F.min("gc_id").alias("gc_id")).select("message_id", "gc_id", F.lit(0.95).alias("confidence"), F.lit("alias").alias("method"), F.lit(2).alias("rank"))
+    every = aliases.select(F.col("alias").alias("name"), "gc_id").unionByName(directory.select("name", F.col("id").alias("gc_id")))
+    forms = lambda c: F.explode(F.array_distinct(F.array(organisation(F.col(c)), organisation_squashed(F.col(c))))).alias("form")
+    ali = names.select("message_id", forms("gc_name")).join(every.select("gc_id", forms("name")), "form").groupBy("message_id").agg(F.min("gc_id").alias("gc_id")).select("message_id", "gc_id", F.lit(0.95).alias("confidence"), F.lit("alias").alias("method"), F.lit(2).alias("rank"))
     distinct = names.select(F.col("norm").alias("id"), F.col("norm").alias("name")).distinct()
-    fuzzy = similar_names(distinct, directory.select("id", "name")).groupBy("left_id").agg(F.max_by("right_id", F.struct("ratio", -F.col("right_id"))).alias("gc_id"), F.max("ratio").alias("confidence"))
+    fuzzy = similar_names(distinct, every.select(F.col("gc_id").alias("id"), "name")).groupBy("left_id").agg(F.max_by("right_id", F.struct("ratio", -F.col("right_id"))).alias("gc_id"), F.max("ratio").alias("confidence"))
     fuz = names.join(fuzzy, names["norm"] == fuzzy["left_id"]).select("message_id", "gc_id", "confidence", F.lit("fuzzy").alias("method"), F.lit(3).alias("rank"))
     best = dom.unionByName(ali).unionByName(fuz).groupBy("message_id").agg(F.min_by(F.struct("gc_id", "confidence", "method"), "rank").alias("m")).select("message_id", "m.*")
     return messages.select("message_id").join(best, "message_id", "left").withColumn("method", F.coalesce("method", F.lit("none")))

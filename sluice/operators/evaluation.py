@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import constants as K
@@ -15,6 +15,11 @@ def truth(label):
     return F.lower(F.trim(label)).isin("bid", "1", "true", "yes")
 
 
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """CSV of opportunity_id, label; rows without an id say nothing and are left out."""
+    return spark.read.csv(path, header=True, schema="opportunity_id string, label string").filter("trim(opportunity_id) <> ''")
+
+
 def confusion(df: DataFrame, predicted: str, actual: str, keys: list[str]) -> DataFrame:
     """tp, fp, fn, tn with precision and recall (null on nothing to divide by), by keys."""
     p, a = F.col(predicted), F.col(actual)

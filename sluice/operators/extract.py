@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from sluice.functions import constants as K
 from sluice.functions.text import excerpt, first_words, normalize_domain, organisation
+from sluice.operators.directory import is_platform
 
 BODY, ATTACHMENT, ATTACHMENTS, LINKS = 20_000, 12_000, 4, 50
 PRIORITY = ["itb", "invitation", "scope", "bid form", "bid-form", "addend", "bulletin"]  # words that put an attachment first
@@ -40,12 +42,27 @@ def prompt(inputs: DataFrame) -> DataFrame:
     return inputs.select("message_id", F.concat_ws("\n\n", "subject", head_and_tail(F.col("body"), BODY, 0.5), F.nullif(files, F.lit("")), F.nullif(links, F.lit(""))).alias("prompt"))
 
 
+def _filled(d: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    """The named columns; those that are missing are null."""
+    return d.assign(**{c: pd.Series([None] * len(d), index=d.index, dtype=object) for c in names if c not in d.columns})[names]
+
+
 def extract(inputs: DataFrame, extractor: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Runs an extractor over assembled inputs, batch by batch; its errors become rows of column error."""
+    """Runs an extractor over assembled inputs, batch by batch. A batch that fails is tried row by row, and a row that fails
+    gives its message_id with the error in the schema's column error, all else null."""
+    names = [f.name for f in _parse_datatype_string(schema).fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield extractor(batch)
+            try:
+                yield _filled(extractor(batch), names)
+            except Exception:  # noqa: BLE001  one bad input must not stop the others
+                for i in range(len(batch)):
+                    row = batch.iloc[i : i + 1]
+                    try:
+                        yield _filled(extractor(row), names)
+                    except Exception as e:  # noqa: BLE001  recorded
+                        yield pd.DataFrame({c: row["message_id"].tolist() if c == "message_id" else [f"{type(e).__name__}: {e}"[:400] if c == "error" else None] for c in names})
 
     return inputs.mapInPandas(run, schema)
 
@@ -63,7 +80,7 @@ def postprocess(d: DataFrame, sent: str = "sent_at") -> DataFrame:
     organisation; the summary has sixty words at most and is made from the scope where it is blank.
     """
     late = F.coalesce(F.col("bid_due") < F.col(sent) - F.make_dt_interval(days=F.lit(2)), F.lit(False))
-    platform = organisation(F.col("gc_name")).isin(K.PLATFORM_NAMES) | is_platform(F.col("gc_domain"))
+    platform = organisation(F.col("gc_name")).isin(K.PLATFORM_NAMES) | is_platform(normalize_domain(F.col("gc_domain")))
     blank = F.trim(F.coalesce("summary", F.lit(""))) == ""
     flags = F.array_union(F.coalesce("flags", F.array().cast("array<string>")), F.array_compact(F.array(F.when(late, "past_due_at_receipt"), F.when(F.col("prebid_mandatory"), "mandatory_prebid"), F.when(blank, "summary_synthesized"))))
     return d.withColumns({
@@ -73,15 +90,6 @@ def postprocess(d: DataFrame, sent: str = "sent_at") -> DataFrame:
     })
 
 
-def is_platform(domain: Column) -> Column:
-    """Whether a domain is a bidding platform's or below it."""
-    d = normalize_domain(domain)
-    c = d.isin(K.PLATFORM_DOMAINS)
-    for p in K.PLATFORM_DOMAINS:
-        c = c | d.endswith(f".{p}")
-    return c
-
-
 def geocode_queries(d: DataFrame) -> DataFrame:
     """(id, rank, precision, query): the street, then the city, then the raw text, as far as they are known."""
     known = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""

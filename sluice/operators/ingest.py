@@ -27,7 +27,7 @@ def anchor_duplicates(df: DataFrame, key: str, time: str, ident: str, days: int
     """Adds duplicate_of: a row repeats the last anchor of its key if it comes at most `days` after it, else it is an anchor.
 
     Rows stream through each task in order of key and time, and only the current anchor is held, so a key of any number of
-    rows takes no memory.
+    rows takes no memory. Rows with a null key repeat nothing and stay out of it.
     """
     schema = df.schema.simpleString()[7:-1]
     kind = dict(df.dtypes)[ident]
@@ -37,7 +37,7 @@ def anchor_duplicates(df: DataFrame, key: str, time: str, ident: str, days: int
         for batch in batches:
             found = []
             for k, t, i in zip(batch[key], batch[time], batch[ident]):
-                if k is not None and k == last and t - since <= pd.Timedelta(days=days):
+                if k == last and t - since <= pd.Timedelta(days=days):
                     found.append(anchor)
                 else:
                     last, since, anchor = k, t, i
@@ -45,7 +45,8 @@ def anchor_duplicates(df: DataFrame, key: str, time: str, ident: str, days: int
             batch["duplicate_of"] = pd.array(found, dtype="Int64") if kind in ("bigint", "int") else found
             yield batch
 
-    return df.repartition(key).sortWithinPartitions(key, time, ident).mapInPandas(fold, f"{schema.replace(':', ' ')}, duplicate_of {kind}")
+    known = df.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, time, ident).mapInPandas(fold, f"{schema.replace(':', ' ')}, duplicate_of {kind}")
+    return known.unionByName(df.filter(F.col(key).isNull()).withColumn("duplicate_of", F.lit(None).cast(kind)))
 
 
 def copies(links: DataFrame, message: str, source: str) -> DataFrame:
@@ -126,3 +127,14 @@ def version_chain(df: DataFrame, key: str, order: list[str], ident: str) -> Data
 
 def prune(df: DataFrame, time: str, now: Column, days: int = 30) -> DataFrame:
     return df.filter(F.col(time) >= now - F.make_dt_interval(days=F.lit(days)))
+
+
+def close_abandoned(polls: DataFrame, state: str, running: str, time: str, now: Column, minutes: int = 30) -> DataFrame:
+    """Polls that run for longer than `minutes` count as abandoned."""
+    return polls.withColumn(state, F.when((F.col(state) == running) & (F.col(time) < now - F.make_dt_interval(mins=F.lit(minutes))), "abandoned").otherwise(F.col(state)))
+
+
+def backfill(batches: DataFrame, source: str, order: str, count: str, errors: str, *, full: int = 50, stuck: int = 20) -> DataFrame:
+    """State of each source's backfill: done when its last batch wasn't full and had no error, stuck at `stuck` errors, else running."""
+    out = batches.groupBy(source).agg(F.count("*").alias("batches"), F.sum(errors).alias("errors"), F.max_by((F.col(count) < full) & (F.col(errors) == 0), order).alias("__done"))
+    return out.withColumn("state", F.when(F.col("__done"), "done").when(F.col("errors") >= stuck, "stuck").otherwise("running")).drop("__done")

@@ -1,4 +1,5 @@
-"""name -> query over the driver's tables, and name -> the same in SQL."""
+"""Queries over the driver's tables with their SQL: scores, messages, polls, resolution, merging, digests. The other modules of
+this folder register more."""
 
 from __future__ import annotations
 
@@ -9,27 +10,17 @@ from sluice.functions import constants as K
 from sluice.functions import dates, geo, links, similarity, text
 from sluice.operators import curation, decisions, digest, directory, evaluation, extract, ingest, merge, resolve
 from sluice.operators import score as scoring
+from sluice.plans.registry import ORACLES, QUERIES, query
 from sluice.plans.views import EVENTS_NOW_TEXT, NOW_SQL, OPPORTUNITIES, SCORED, events_now, now, opportunities
 from sluice.sources.tables import load
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _scored(spark: SparkSession, sf_dir: str, p: scoring.Profile = scoring.Profile()) -> DataFrame:
     return scoring.score(scoring.others_due_same_week(opportunities(spark, sf_dir), ["gc_id"]), now(), p)
 
 
+_TRANSITIONS = "moves(a, b) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, bs in K.TRANSITIONS.items() for b in bs) + ")"
+_VERBS = ["bid", "snooze", "assign", "submit", "won", "lock_field", "reopen", "needs_info"]
+
 # ---------------------------------------------------------------- scoring
 
 
@@ -50,7 +41,10 @@ def score_explain(spark, sf_dir):
     return _scored(spark, sf_dir).select("id", F.array_join("caps", ",").alias("caps"), F.array_join("boosts", ",").alias("boosts"), *[F.round(c, 6).alias(c) for c in ("f_size", "f_distance", "f_timing")])
 
 
-@query()
+@query(f"""WITH {SCORED}, f AS (SELECT id, [{{'l': -(f_project_type - 0.5) * 0.25 * 100, 'i': 0, 'n': 'project_type'}}, {{'l': -(f_size - 0.5) * 0.25 * 100, 'i': 1, 'n': 'size'}}, {{'l': -(f_gc - 0.5) * 0.25 * 100, 'i': 2, 'n': 'gc'}},
+ {{'l': -(f_distance - 0.6) * 0.10 * 100, 'i': 3, 'n': 'distance'}}, {{'l': -(f_timing - 0.5) * 0.10 * 100, 'i': 4, 'n': 'timing'}}, {{'l': -(f_bid_type - 0.7) * 0.05 * 100, 'i': 5, 'n': 'bid_type'}}] AS r FROM banded)
+ SELECT id, array_to_string(list_transform(list_slice(list_sort(list_filter(r, lambda x: x.l < -1e-9)), 1, 3), lambda x: x.n), ',') AS helps,
+ array_to_string(list_transform(list_slice(list_sort(list_transform(list_filter(r, lambda x: x.l > 1e-9), lambda x: {{'l': -x.l, 'i': x.i, 'n': x.n}})), 1, 1), lambda x: x.n), ',') AS hurts FROM f""")
 def score_factors(spark, sf_dir):
     up, down = scoring.ranked_factors()
     return _scored(spark, sf_dir).select("id", F.array_join(up, ",").alias("helps"), F.array_join(down, ",").alias("hurts"))
@@ -164,7 +158,10 @@ def message_copies(spark, sf_dir):
     return ingest.copies(h.join(first, "h"), "message_id", "source")
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS (SELECT doc_id, sha256(text) AS h, TIMESTAMP '{EVENTS_NOW_TEXT}' + to_hours(CAST(doc_id % 2000 AS INTEGER)) AS came FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY came, doc_id) AS k FROM m),
+ r AS (SELECT h, k, doc_id, doc_id AS anchor, came AS since, NULL::BIGINT AS duplicate_of FROM o WHERE k = 1
+ UNION ALL SELECT o.h, o.k, o.doc_id, CASE WHEN o.came - r.since <= INTERVAL 7 DAY THEN r.anchor ELSE o.doc_id END, CASE WHEN o.came - r.since <= INTERVAL 7 DAY THEN r.since ELSE o.came END, CASE WHEN o.came - r.since <= INTERVAL 7 DAY THEN r.anchor END FROM r JOIN o ON o.h = r.h AND o.k = r.k + 1)
+ SELECT doc_id, duplicate_of FROM r""")
 def message_anchor_duplicates(spark, sf_dir):
     (d,) = load(spark, sf_dir, "documents")
     m = d.select("doc_id", F.sha2("text", 256).alias("h"), (F.lit(EVENTS_NOW_TEXT).cast("timestamp") + F.make_dt_interval(hours=(F.col("doc_id") % 2_000).cast("int"))).alias("received_at"))
@@ -177,11 +174,7 @@ def first_per_message_id(spark, sf_dir):
     return ingest.first_per_key(e, ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
 
 
-_NOISE_SQL = r"""WITH d AS (SELECT doc_id, source, text, regexp_matches(substr(text, 1, 2000), '(?i)\b(bids?|proposals?|quotes?|rfp|rfq|itb|invitation|addend(um|a)|plans|specs|due|pre-?bid|estimat\w*|pricing)\b') AS hinted,
- len(regexp_extract_all(text, 'https?://')) AS links FROM documents) SELECT doc_id, NOT hinted AND (length(trim(text)) < 40 AND links = 0) AS skip FROM d"""
-
-
-@query(_NOISE_SQL)
+@query(f"SELECT doc_id, NOT regexp_matches(source || chr(10) || substr(text, 1, 2000), '(?i){K.BID_HINT}') AND (regexp_matches(source, '(?i){K.NOISE_SUBJECT}') OR length(trim(text)) < 40 AND len(regexp_extract_all(text, 'https?://')) = 0) AS skip FROM documents")
 def prefilter(spark, sf_dir):
     (d,) = load(spark, sf_dir, "documents")
     n = F.size(F.regexp_extract_all("text", F.lit("https?://"), F.lit(0)))
@@ -199,10 +192,15 @@ def link_harvest(spark, sf_dir):
     return p.select("page_id", F.concat_ws(" ", "url", "html").alias("html")).select("page_id", F.posexplode(found).alias("pos", "link")).groupBy("page_id", "link").agg(F.min("pos").alias("first_pos"))
 
 
-@query(f"SELECT page_id, {_HOST} AS host, 'other' AS host_class FROM pages")
+_HOSTS = [h for d in K.HOST_CLASSES for h in (d, f"files.{d}", f"not{d}")]
+_CLASS = "CASE " + " ".join(f"WHEN h = '{d}' OR h LIKE '%.{d}' THEN '{c}'" for d, c in K.HOST_CLASSES.items()) + " ELSE 'other' END"
+
+
+@query(f"WITH p AS (SELECT page_id, {_HOST} AS own, {_HOSTS!r}[CAST(page_id % {len(_HOSTS)} AS INTEGER) + 1] AS h0 FROM pages), q AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN own ELSE h0 END AS h FROM p) SELECT page_id, h AS host, {_CLASS} AS host_class FROM q")
 def host_classes(spark, sf_dir):
     (p,) = load(spark, sf_dir, "pages")
-    h = links.host(F.col("url"))
+    known = F.concat(F.lit("https://me@www."), F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("page_id") % len(_HOSTS) + 1).cast("int")), F.lit(":443/a?b"))
+    h = links.host(F.when(F.col("page_id") % 5 == 0, F.col("url")).otherwise(known))
     return p.select("page_id", h.alias("host"), links.host_class(h).alias("host_class"))
 
 
@@ -214,12 +212,18 @@ def url_unwrap(spark, sf_dir):
     return p.select("page_id", links.unwrap(F.when(F.col("page_id") % 2 == 0, wrapped).otherwise(F.col("url"))).alias("unwrapped"))
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'bc:' || page_id WHEN 1 THEN 'procore:' || page_id END AS platform_id FROM pages")
+# Links with their ids, as the fixed values say: a company's number in a link isn't an id, and a package comes before its project.
+_ID_LINKS = [
+    ("https://app.buildingconnected.com/projects/5f0c1ab2c3d4e5", "bc:5f0c1ab2c3d4e5"), ("https://app.buildingconnected.com/RFP/ABCDEF012345/files", "bc:abcdef012345"), ("https://app.buildingconnected.com/bids/1234", None),
+    ("https://app.procore.com/2318842/project/bid_packages/77?x=1", "procore:77"), ("https://app.procore.com/2318842/projects/991", "procore:991"), ("https://app.procore.com/2318842/home", None),
+    ("https://x.example.com/?bidPackageId=Ab-9&projectId=4", "pkg:ab-9"), ("https://x.example.com/?a=1&project_id=4", "proj:4"), ("https://x.example.com/project/4", None),
+]
+
+
+@query(f"SELECT page_id, ([{', '.join('NULL' if i is None else repr(i) for _, i in _ID_LINKS)}])[CAST(page_id % {len(_ID_LINKS)} AS INTEGER) + 1] AS platform_id FROM pages")
 def platform_ids(spark, sf_dir):
     (p,) = load(spark, sf_dir, "pages")
-    n = F.col("page_id").cast("string")
-    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://app.buildingconnected.com/public/opportunities/"), n)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://app.procore.com/12/projects/"), n)).otherwise(F.col("url"))
-    return p.select("page_id", F.when(F.col("page_id") % 3 != 2, links.platform_id(url)).alias("platform_id"))
+    return p.select("page_id", links.platform_id(F.element_at(F.array(*[F.lit(u) for u, _ in _ID_LINKS]), (F.col("page_id") % len(_ID_LINKS) + 1).cast("int"))).alias("platform_id"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in K.NAME_STOPWORDS)
@@ -253,7 +257,10 @@ def html_stripped_length(spark, sf_dir):
     return p.select("page_id", F.length(bare).alias("n"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?is)<!--.*?-->', ' ', 'g'), '(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', '\2 (\1)', 'g'),
+ '(?i)<(br|/p|/div|/tr|/li|/h[1-6])[^>]*>', chr(10), 'g'), '(?i)</t[dh]>', chr(9), 'g'), '(?s)<[^>]+>', '', 'g') AS t FROM pages),
+ e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM a)
+ SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \x0B\f\r]+', ' ', 'g'), '[\s\x0B]*\n[\s\x0B]*', chr(10), 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS text FROM e""")
 def html_text(spark, sf_dir):
     (p,) = load(spark, sf_dir, "pages")
     return p.select("page_id", text.html_to_text(F.col("html")).alias("text"))
@@ -277,10 +284,10 @@ def extraction_versions(spark, sf_dir):
     return ingest.version_chain(c, "conv_id", ["turn"], "turn").select("conv_id", "turn", "version", "superseded_by")
 
 
-@query("WITH n AS (SELECT o_custkey AS parent, count(*) AS n FROM orders GROUP BY 1) SELECT parent, greatest(0, n - 5) AS overflow, least(n, 5) AS kept FROM n")
+@query("WITH n AS (SELECT o_custkey % 100 AS parent, count(*) AS n FROM orders GROUP BY 1) SELECT parent, greatest(0, n - 50) AS overflow, least(n, 50) AS kept FROM n")
 def attachment_cap(spark, sf_dir):
     (o,) = load(spark, sf_dir, "orders")
-    kept, over = ingest.capped_children(o.select(F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("child")), "parent", ["child"], 5)
+    kept, over = ingest.capped_children(o.select((F.col("o_custkey") % 100).alias("parent"), F.col("o_orderkey").alias("child")), "parent", ["child"])
     return over.join(kept.groupBy("parent").agg(F.count("*").alias("kept")), "parent")
 
 
@@ -328,9 +335,9 @@ def batch_budget(spark, sf_dir):
     return ingest.within_budget(o.select("o_custkey", "o_orderkey", size.alias("size")), "o_custkey", "o_orderkey", "size", 500_000, 4).select("o_custkey", "o_orderkey")
 
 
-@query("WITH l AS (SELECT user_id, max(CASE WHEN event_type <> 'error' THEN ts END) AS last FROM events GROUP BY 1) SELECT events.user_id, count(*) AS attempts, count(*) >= 2 AS given_up FROM events JOIN l USING (user_id) WHERE event_type = 'error' AND (last IS NULL OR ts > last) GROUP BY 1")
+@query("WITH l AS (SELECT user_id, max(CASE WHEN event_type <> 'error' THEN ts END) AS last FROM events GROUP BY 1) SELECT events.user_id, count(*) AS attempts, count(*) >= 5 AS given_up FROM events JOIN l USING (user_id) WHERE event_type = 'error' AND (last IS NULL OR ts > last) GROUP BY 1")
 def poison_messages(spark, sf_dir):
-    return ingest.poison(_polls(spark, sf_dir), "user_id", "ts", "ok", 2)
+    return ingest.poison(_polls(spark, sf_dir), "user_id", "ts", "ok")
 
 
 @query("SELECT event_id, ts + to_seconds(30 * CAST(pow(2, event_id % 6) AS BIGINT)) AS run_at FROM events WHERE event_type = 'error'")
@@ -363,7 +370,9 @@ def event_sessions(spark, sf_dir):
 _GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(%s), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
-@query(f"WITH g AS (SELECT p_partkey AS id, {_GRAMS % 'p_name'} AS g FROM part), u AS (SELECT id, len(g) AS n, unnest(g) AS t FROM g), m AS (SELECT x.id AS a, y.id AS b, count(*) AS c, any_value(x.n) AS nx, any_value(y.n) AS ny FROM u x JOIN u y ON x.t = y.t AND x.id < y.id GROUP BY 1, 2) SELECT a, b, round(c / (nx + ny - c), 6) AS similarity FROM m WHERE c / (nx + ny - c) >= 0.8")
+@query(f"""WITH d AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1), g AS (SELECT id, {_GRAMS % 'name'} AS g FROM d), u AS (SELECT id, len(g) AS n, unnest(g) AS t FROM g),
+ m AS (SELECT x.id AS a, y.id AS b, count(*) AS c, any_value(x.n) AS nx, any_value(y.n) AS ny FROM u x JOIN u y ON x.t = y.t AND x.id < y.id GROUP BY 1, 2)
+ SELECT 'alike' AS kind, a, b, round(c / (nx + ny - c), 6) AS similarity FROM m WHERE c / (nx + ny - c) >= 0.25 UNION ALL SELECT 'member', d.id, p_partkey, 1.0 FROM part JOIN d ON name = p_name WHERE p_partkey <> d.id""")
 def name_candidates_trigram(spark, sf_dir):
     (p,) = load(spark, sf_dir, "part")
     return resolve.name_candidates(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).withColumn("similarity", F.round("similarity", 6))
@@ -376,10 +385,10 @@ def _pairs(spark, sf_dir):
     cols = lambda x: o.select(F.col("id").alias(f"{x}_id"), F.concat(F.lit("Tower "), F.col("project_type"), F.lit(" "), (F.col("id") % 3).cast("string")).alias(f"{x}_name"), F.when(F.col("id") % 5 != 0, F.col("gc_id")).alias(f"{x}_gc_id"), F.lit(None).cast("string").alias(f"{x}_gc_domain"), F.array().cast("array<string>").alias(f"{x}_platform_ids"), F.array().cast("array<string>").alias(f"{x}_thread_ids"), F.lit(None).cast("string").alias(f"{x}_project_number"), F.when(F.col("id") % 2 == 0, F.col("lat")).alias(f"{x}_lat"), F.col("lon").alias(f"{x}_lon"), F.lit(None).cast("string").alias(f"{x}_city"), F.col("bid_due").alias(f"{x}_bid_due"), F.lit(None).cast("string").alias(f"{x}_owner_name"), F.col("first_seen").alias(f"{x}_last_activity"))
     d = pairs.join(cols("c"), F.col("a") == F.col("c_id")).join(cols("i"), F.col("b") == F.col("i_id")).withColumn("i_kind", F.when(F.col("b") % 4 == 0, "addendum").otherwise("itb"))
     sim = similarity.trigram_similarity(similarity.trigrams(F.col("c_name")), similarity.trigrams(F.col("i_name")))
-    return resolve.evidence(d, sim)
+    return resolve.evidence(d, sim, F.lit(0.0))
 
 
-_PAIRS = f"""WITH {OPPORTUNITIES}, o AS (SELECT *, 'Tower ' || project_type || ' ' || (id % 3) AS nm, CASE WHEN id % 5 <> 0 THEN gc_id END AS g, CASE WHEN id % 2 = 0 THEN lat END AS la, date_trunc('week', bid_due) AS week FROM opp WHERE gc_id % 10 < 3),
+_PAIRS = f"""WITH {OPPORTUNITIES}, o AS (SELECT *, 'Tower ' || project_type || ' ' || (id % 3) AS nm, CASE WHEN id % 5 <> 0 THEN gc_id END AS g, CASE WHEN id % 2 = 0 THEN lat END AS la, date_trunc('week', bid_due) AS week FROM opp),
  p AS (SELECT c.id AS c_id, i.id AS i_id, {_GRAMS % 'c.nm'} AS cg, {_GRAMS % 'i.nm'} AS ig, c.g = i.g AS gm, CASE WHEN c.la IS NOT NULL AND i.la IS NOT NULL THEN CASE WHEN c.lat = i.lat AND c.lon = i.lon THEN 1.0 ELSE 0.0 END END AS geo, abs(c.due_days - i.due_days) AS apart,
   CASE WHEN i.id % 4 = 0 THEN 'addendum' ELSE 'itb' END AS kind FROM o c JOIN o i ON c.gc_id = i.gc_id AND c.week = i.week AND c.id < i.id),
  q AS (SELECT *, len(list_intersect(cg, ig)) / len(list_distinct(list_concat(cg, ig))) AS sim, CASE WHEN kind = 'itb' THEN 0.0 ELSE 0.5 END AS least, CASE WHEN apart <= 3 THEN 1.0 WHEN apart <= 14 THEN 0.5 ELSE 0.0 END AS d0 FROM p),
@@ -498,7 +507,11 @@ def band_overflow(spark, sf_dir):
     return digest.top_by_band(_scored(spark, sf_dir))[1]
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TRANSITIONS}, o AS (SELECT user_id, ({K.STATUSES!r})[CAST(event_id % 10 AS INTEGER) + 1] AS goal, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ r AS (SELECT user_id, 0::BIGINT AS k, 'new' AS status, 0 AS applied, 0 AS refused FROM (SELECT DISTINCT user_id FROM events)
+ UNION ALL SELECT o.user_id, o.k, CASE WHEN t.a IS NOT NULL THEN o.goal ELSE r.status END, r.applied + CASE WHEN t.a IS NOT NULL THEN 1 ELSE 0 END, r.refused + CASE WHEN t.a IS NULL AND o.goal <> r.status THEN 1 ELSE 0 END
+ FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1 LEFT JOIN moves t ON t.a = r.status AND t.b = o.goal)
+ SELECT user_id, arg_max(status, k) AS status, max(applied) AS applied, max(refused) AS refused FROM r GROUP BY user_id""")
 def status_fold(spark, sf_dir):
     (e,) = load(spark, sf_dir, "events")
     to = F.element_at(F.array(*map(F.lit, K.STATUSES)), (F.col("event_id") % 10 + 1).cast("int"))
@@ -524,7 +537,8 @@ def road_distance(spark, sf_dir):
     return opportunities(spark, sf_dir).select("id", F.round("distance_miles", 6).alias("miles"))
 
 
-@query()
+@query(f"""WITH {OPPORTUNITIES}, c AS (SELECT id, CAST(greatest(0, least(ceil((lon + 180) / 360 * 32768) - 1, 32767)) AS BIGINT) AS x, CAST(greatest(0, least(ceil((lat + 90) / 180 * 32768) - 1, 32767)) AS BIGINT) AS y FROM opp)
+ SELECT id, array_to_string(list_transform(range(0, 6), lambda i: substr('{geo._BASE32}', CAST(1 + list_sum(list_transform(range(0, 5), lambda j: ((CASE WHEN (5 * i + j) % 2 = 0 THEN x ELSE y END >> CAST(14 - (5 * i + j) // 2 AS INTEGER)) & 1) << CAST(4 - j AS INTEGER))) AS BIGINT), 1)), '') AS cell FROM c""")
 def geohash_cells(spark, sf_dir):
     return opportunities(spark, sf_dir).select("id", geo.geohash(F.col("lat"), F.col("lon")).alias("cell"))
 
@@ -589,12 +603,21 @@ def corpus_report(spark, sf_dir):
     return extract.corpus_report(opportunities(spark, sf_dir).withColumn("kind", F.col("bid_type")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {OPPORTUNITIES}, {_TRANSITIONS}, goals(action, goal) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in K.ACTION_STATUS.items())}),
+ a AS (SELECT l_orderkey AS id, ({_VERBS!r})[CAST((l_partkey + l_linenumber) % 8 AS INTEGER) + 1] AS action, l_linenumber AS came FROM lineitem),
+ o AS (SELECT a.id, action, goal, row_number() OVER (PARTITION BY a.id ORDER BY came, action) AS k FROM a LEFT JOIN goals USING (action)),
+ r AS (SELECT id, 0::BIGINT AS k, status, 0 AS applied FROM opp WHERE id IN (SELECT id FROM a)
+ UNION ALL SELECT o.id, o.k, CASE WHEN t.a IS NOT NULL THEN o.goal ELSE r.status END, r.applied + CASE WHEN o.goal IS NULL OR o.goal = r.status OR t.a IS NOT NULL THEN 1 ELSE 0 END
+ FROM r JOIN o ON o.id = r.id AND o.k = r.k + 1 LEFT JOIN moves t ON t.a = r.status AND t.b = o.goal),
+ f AS (SELECT id, arg_max(status, k) AS status, max(k) AS actions, max(applied)::BIGINT AS applied FROM r GROUP BY id), n AS (SELECT id, max(CASE WHEN action = 'assign' THEN 'bid_due' END) AS assignee, max(CASE WHEN action = 'lock_field' THEN 1 ELSE 0 END) AS locked FROM a GROUP BY id)
+ SELECT opp.id, coalesce(f.status, opp.status) AS status, assignee, coalesce(locked, 0) AS locked, actions, applied FROM opp LEFT JOIN f ON f.id = opp.id LEFT JOIN n ON n.id = opp.id""")
 def apply_actions(spark, sf_dir):
     o = opportunities(spark, sf_dir).select("id", "status", "bid_due", "flags", F.lit(None).cast("string").alias("assignee"), F.array().cast("array<string>").alias("locked"), F.lit(None).cast("timestamp").alias("snooze_until"))
-    verbs = ["bid", "snooze", "assign", "submit", "won", "lock_field", "reopen", "needs_info"]
     (li,) = load(spark, sf_dir, "lineitem")
-    acts = li.select(F.col("l_orderkey").alias("id"), (now().cast("timestamp") + F.make_dt_interval(hours=F.col("l_linenumber"))).alias("at"), F.element_at(F.array(*map(F.lit, verbs)), ((F.col("l_partkey") + F.col("l_linenumber")) % 8 + 1).cast("int")).alias("action"), F.lit("bid_due").alias("value"))
+    acts = li.select(F.col("l_orderkey").alias("id"), (now().cast("timestamp") + F.make_dt_interval(hours=F.col("l_linenumber"))).alias("at"), F.element_at(F.array(*map(F.lit, _VERBS)), ((F.col("l_partkey") + F.col("l_linenumber")) % 8 + 1).cast("int")).alias("action"), F.lit("bid_due").alias("value"))
     after, log = decisions.apply_actions(o, acts, now())
     done = log.groupBy("id").agg(F.count("*").alias("actions"), F.count_if("applied").alias("applied"))
     return after.join(done, "id", "left").select("id", "status", "assignee", F.size("locked").alias("locked"), "actions", "applied")
+
+
+from sluice.plans import digests, lookups, rules, updates  # noqa: E402, F401  they register their queries

@@ -13,12 +13,14 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice.functions import constants as K
+
 MESSAGE = (
     "path string, error string, internet_message_id string, from_addr string, from_name string, to array<string>, cc array<string>, subject string, sent_at timestamp, "
     "sent_at_confidence string, body_text string, body_html string, body_trimmed string, in_reply_to string, references array<string>, forwarded_by string, "
     "forward_note string, forward_chain array<string>, attachments array<struct<filename: string, mime: string, size: long, sha256: string, data: binary>>"
 )
-_QUOTES = re.compile(r"(?m)^(>|-{2,} ?Original Message|_{10,}|On .{1,200} wrote:)")
+_QUOTES = re.compile("|".join(K.QUOTE_MARKS), re.I)
 _FORWARD = re.compile(r"(?m)^-{3,}\s*Forwarded message\s*-{3,}\s*$|^Begin forwarded message:\s*$", re.I)
 _FIELD = re.compile(r"(?m)^\s*(From|Date|Sent|Subject|To|Cc):\s*(.*)$", re.I)
 DEPTH = 4
@@ -51,6 +53,13 @@ def _date(value: str | None) -> datetime | None:
     return None if d is None else (d if d.tzinfo else d.replace(tzinfo=UTC)).astimezone(UTC).replace(tzinfo=None)
 
 
+def _has_zone(value: str | None) -> bool:
+    try:
+        return bool(value) and email.utils.parsedate_to_datetime(value).tzinfo is not None
+    except (TypeError, ValueError):
+        return False
+
+
 def _addresses(message, name: str) -> list[str]:
     return [a.lower() for _, a in email.utils.getaddresses([str(v) for v in message.get_all(name, [])]) if a]
 
@@ -92,7 +101,7 @@ def parse(data: bytes) -> dict:
     header = lambda n: str(email.header.make_header(email.header.decode_header(message[n]))) if message[n] else None
     body = (text if text is not None else _plain(html or "")).replace("\r\n", "\n")
     name, sender = email.utils.parseaddr(header("From") or "")
-    sent = _date(message["Date"])
+    sent, zoned = _date(message["Date"]), _has_zone(message["Date"])
     body, who, subject, when, chain, note = _inner(body, sender.lower(), header("Subject") or "", sent)
     if inner is not None and not chain:
         deep = parse(inner.as_bytes())
@@ -100,8 +109,8 @@ def parse(data: bytes) -> dict:
     cut = _QUOTES.search(body)
     return {
         "error": None, "internet_message_id": (message["Message-ID"] or "").strip() or None, "from_addr": who, "from_name": name or None, "to": _addresses(message, "To"), "cc": _addresses(message, "Cc"),
-        "subject": subject, "sent_at": when, "sent_at_confidence": "low" if chain else "high" if when else "none", "body_text": body, "body_html": html,
-        "body_trimmed": body[: cut.start()].rstrip() if cut else body, "in_reply_to": (message["In-Reply-To"] or "").strip() or None, "references": (message["References"] or "").split(),
+        "subject": subject, "sent_at": when, "sent_at_confidence": "high" if when and not chain and zoned else "low", "body_text": body, "body_html": html,
+        "body_trimmed": (body[: cut.start()] if cut else body).strip(), "in_reply_to": (message["In-Reply-To"] or "").strip() or None, "references": (message["References"] or "").split(),
         "forwarded_by": chain[0] if chain else None, "forward_note": note, "forward_chain": chain, "attachments": files,
     }
 

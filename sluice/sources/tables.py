@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,32 @@ def append_changes(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+_OWN_DIR: list[str] = []
+
+
+def working_dir(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; one of our own only where it is unset (tests, one machine)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _OWN_DIR:
+        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="sluice-"))
+    return _OWN_DIR[0]
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the working folder that nothing has been written to."""
+    return f"{working_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_blobs(df: DataFrame, path: str) -> None:
-    """sha256, data: each content once, in partitions by the first two digits of its hash."""
-    df.dropDuplicates(["sha256"]).withColumn("prefix", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
+    """sha256, data: each content once, whatever earlier calls wrote, in partitions by the first two digits of its hash."""
+    new = df.dropDuplicates(["sha256"])
+    if exists(df.sparkSession, path):
+        new = new.join(df.sparkSession.read.parquet(path).select("sha256"), "sha256", "left_anti")
+    new.withColumn("prefix", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)

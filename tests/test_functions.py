@@ -28,15 +28,35 @@ def test_messages(spark):
     assert one(spark, text.content_hash(F.lit("Fwd: Hello"), F.lit("A  b"))) == one(spark, text.content_hash(F.lit("hello"), F.lit("a b")))
     assert one(spark, text.html_to_text(F.lit('<p>a <a href="http://x.y">b</a></p><script>z</script>'))) == "a b (http://x.y)"
     assert one(spark, text.stated_range(F.lit("cost $1.2 - 1.5 million now"))) == "$1.2 - 1.5 million"
-    assert one(spark, text.location_label(F.lit("Specs.pdf page 3"))) == "attachment:specs.pdf:p3"
+    assert one(spark, text.location_label(F.lit("attachment:Specs: A.pdf:p03"))) == "attachment:Specs: A.pdf:p3"
+    assert one(spark, text.location_label(F.lit("Specs.pdf page 3"))) is None and one(spark, text.location_label(F.lit(" Body "))) == "body"
 
 
 def test_removals_and_awards(spark):
     items = F.array(F.lit("lighting"), F.lit("site_lighting"), F.lit("fire_alarm"))
     assert one(spark, text.removed_items(F.lit("Site lighting is deleted. Fire alarm stays."), items)) == ["site_lighting"]
     assert one(spark, text.award_outcome(F.lit("The project is cancelled, congratulations"))) == "cancelled"
-    assert one(spark, text.award_outcome(F.lit("You have been selected"))) == "won"
-    assert one(spark, text.award_outcome(F.lit("You were not selected"))) == "lost"
+    assert one(spark, text.award_outcome(F.lit("We are pleased to award you the contract"))) == "won"
+    assert one(spark, text.award_outcome(F.lit("We regret to inform you"))) == "lost"
+    assert one(spark, text.award_outcome(F.lit("You have been selected"))) is None
+    assert one(spark, text.award_outcome(F.lit("Pleased to inform you that it was awarded to another"))) is None
+
+
+def test_zones_beyond_home(spark):
+    anchor = F.lit("2026-09-30 10:30:00").cast("timestamp")
+    assert one(spark, dates.parse_local(F.lit("2026-01-05T09:00"), F.lit("Europe/London"), anchor)["ts"]) == datetime(2026, 1, 5, 9)
+
+
+@pytest.mark.parametrize("line", ["short", "x" * 75, "x" * 76, "é" * 200, "SUMMARY:" + "日本" * 60])
+def test_folded_lines(spark, line):
+    got = one(spark, text.ics_fold(F.lit(line)))
+    assert got.replace("\r\n ", "") == line and all(len(x.encode()) <= 75 for x in got.split("\r\n"))
+
+
+def test_noise(spark):
+    noise = lambda subject, body: one(spark, text.bid_noise(F.lit(subject), F.lit(body), F.lit(0), F.lit(0)))
+    assert noise("Member newsletter", "Fees are due on Friday, please send them in by then, thanks.") and not noise("Newsletter", "You are invited to bid on the tower")
+    assert noise("hi", "short") and not noise("hi", "a body that is long enough to be worth a look at")
 
 
 @pytest.mark.parametrize("value, want", [
