@@ -2,16 +2,20 @@
 
 Words are lower-cased and stripped of marks. Fixed masks pick some positions of a window and ignore the others, so a hit
 survives substitutions at ignored places. The benchmark's seed hashes make an index; documents' hashes first pass a Bloom
-bitmap of fixed size that every task holds, and those that pass are joined with the index by hash. A join result names a
-document, an item and a diagonal; each diagonal is verified once by comparing the words of both along it: the overlap is the
-best-scoring run (+1 for equal words, -MISS for others), reported when its score reaches MIN_SCORE.
-
-Edge cases: null and empty texts and items match nothing; items of fewer than MIN_WORDS words are never reported, as they can't reach MIN_SCORE; null ids match nothing;
-equal items and documents all are reported; an empty table on either side gives no rows; other columns are ignored.
+bitmap that every task holds, sized by the index, and those that pass are joined with the index by hash. A join result names a
+document, an item and a diagonal; each diagonal is verified once by comparing the hashes of the words of both along it. Overlaps
+are the best-scoring runs (+1 for equal words, -MISS for others), the best first and then those beside it. A run is reported when
+its score reaches MIN_SCORE, or when it spans SPAN of the item and EQUAL of the item's words are equal in it, so short items may
+differ too. Items of SHORT to WINDOW - 1 words have no room for a mask: they are sought whole and word for word.
+
+Edge cases: null and empty texts and items match nothing; items of fewer than SHORT words are never reported, as such words
+stand in any text; null ids match nothing; equal items and documents all are reported; an empty table on either side gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,10 +28,12 @@ from sluice.llm.common import WordHash, load, materialize, mix64
 
 # Fixed masks of weight 6: 1 counts, 0 is ignored. Each leaves out a residue of 3, 4, 5 or 6, so one of them fits between changes that recur so often.
 MASKS = ("111111", "1111011", "1110111", "11011011")
-MIN_WORDS = 8  # items with fewer words aren't searched for
+SHORT, WINDOW = 4, 8  # words of the shortest items, and of the longest mask
 MIN_SCORE = 8.0
+SPAN, EQUAL = 0.8, 2 / 3
 MISS = 1.0
-BLOOM_BITS = 1 << 23
+BLOOM_BITS = (1 << 23, 1 << 28)  # of the bitmap at least and at most; SPARSE bits a seed between
+SPARSE = 16
 INDEX_ROWS = 1_000_000  # seeds up to which the index is broadcast; beyond it the join shuffles
 _MARKS = re.compile(r"[^\w]+")
 _P = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(64)]
@@ -43,15 +49,26 @@ def word_array(text: str | None, hashes: WordHash) -> np.ndarray:
     return w[w != 0]
 
 
-def seeds(w: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(mask number, hash of the picked words at each place)."""
+def seeds(w: np.ndarray) -> Iterator[np.ndarray]:
+    """Of each mask the hash of the picked words at each place."""
     for m, mask in enumerate(MASKS):
         n = len(w) - len(mask) + 1
         if n > 0:
             h = np.full(n, np.uint64(m + 1))
             for k, picked in enumerate(i for i, c in enumerate(mask) if c == "1"):
                 h = h + w[picked : picked + n] * _P[k]
-            yield m, mix64(h)
+            yield mix64(h)
+
+
+def whole_seeds(w: np.ndarray, lengths: list[int]) -> Iterator[np.ndarray]:
+    """Of each length the hash of so many words at each place."""
+    for length in lengths:
+        n = len(w) - length + 1
+        if n > 0:
+            h = np.full(n, np.uint64(len(MASKS) + length))
+            for k in range(length):
+                h = h + w[k : k + n] * _P[k]
+            yield mix64(h)
 
 
 def best_run(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, float]:
@@ -64,34 +81,46 @@ def best_run(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, float]:
     return start, stop, int((x[start:stop] == y[start:stop]).sum()), float(total[stop] - total[start])
 
 
+def runs(x: np.ndarray, y: np.ndarray, words: int) -> list[tuple[int, int, int, float]]:
+    """The reported runs of an item of so many words along a diagonal: the best one, then those in what lies beside it."""
+    out, parts = [], [(0, len(x))]
+    while parts:
+        a, b = parts.pop()
+        start, stop, equal, score = best_run(x[a:b], y[a:b])
+        if score >= MIN_SCORE or (words >= SHORT and equal >= EQUAL * words and stop - start >= SPAN * words):
+            out.append((a + start, a + stop, equal, score))
+            parts += [(a, a + start), (a + stop, b)]
+    return out
+
+
 def seed_index(benchmark: DataFrame) -> DataFrame:
-    """(hash, item_id, place) of every seed of every item, written."""
+    """(hash, item_id, place, short) of every seed of every item, written; short: the words of an item without room for a mask, else 0."""
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHash(bare)
         for batch in batches:
             for item, text in zip(batch["item_id"].tolist(), batch["text"].tolist()):
                 w = word_array(text, hashes)
-                if len(w) >= MIN_WORDS:
-                    for _, h in seeds(w):
-                        yield pd.DataFrame({"hash": h.view(np.int64), "item_id": int(item), "place": np.arange(len(h))})
+                for h in seeds(w) if len(w) >= WINDOW else whole_seeds(w, [len(w)]) if len(w) >= SHORT else ():
+                    yield pd.DataFrame({"hash": h.view(np.int64), "item_id": int(item), "place": np.arange(len(h)), "short": len(w) if len(w) < WINDOW else 0})
 
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return materialize(items.mapInPandas(index, "hash long, item_id long, place long"), "seed-index")
+    return materialize(items.mapInPandas(index, "hash long, item_id long, place long, short int"), "seed-index")
 
 
-def bloom(index: DataFrame) -> np.ndarray:
-    """A bitmap of BLOOM_BITS places; two of them are set for each hash. Its size doesn't depend on the benchmark's."""
-    bits = np.zeros(BLOOM_BITS // 64, np.uint64)
-    spot = F.explode(F.array(F.pmod("hash", F.lit(BLOOM_BITS)), F.pmod(F.shiftright("hash", 32), F.lit(BLOOM_BITS)))).alias("spot")
+def bloom(index: DataFrame, seeds_in_all: int) -> np.ndarray:
+    """A bitmap of a power of two of places, SPARSE for each seed within BLOOM_BITS; two of them are set for each hash."""
+    size = min(BLOOM_BITS[1], max(BLOOM_BITS[0], 1 << (SPARSE * seeds_in_all).bit_length()))
+    bits = np.zeros(size // 64, np.uint64)
+    spot = F.explode(F.array(F.pmod("hash", F.lit(size)), F.pmod(F.shiftright("hash", 32), F.lit(size)))).alias("spot")
     words = index.select(spot).distinct().groupBy(F.shiftright("spot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("v"))
-    for r in words.toLocalIterator():  # BLOOM_BITS / 64 rows at most
+    for r in words.toLocalIterator():  # a row for each 64 places at most
         bits[r["w"]] = np.uint64(r["v"] & 0xFFFFFFFFFFFFFFFF)
     return bits
 
 
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    m = np.uint64(BLOOM_BITS - 1)
+    m = np.uint64(64 * len(bits) - 1)
     hit = np.ones(len(h), bool)
     for spot in (h & m, (h >> np.uint64(32)) & m):
         hit &= (bits[(spot >> np.uint64(6)).astype(np.intp)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
@@ -103,7 +132,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     index = seed_index(benchmark)
-    bits = spark.sparkContext.broadcast(bloom(index))
+    rows = index.count()
+    bits = spark.sparkContext.broadcast(bloom(index, rows))
+    short = sorted(r["short"] for r in index.filter("short > 0").select("short").distinct().collect())  # WINDOW - SHORT rows at most
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, bitmap = WordHash(bare), bits.value
@@ -111,7 +142,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             found = []
             for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
                 w = word_array(text, hashes)
-                for _, h in seeds(w):
+                for h in itertools.chain(seeds(w), whole_seeds(w, short)):
                     at = np.flatnonzero(_in(bitmap, h))
                     if len(at):
                         found.append(pd.DataFrame({"doc_id": doc, "hash": h[at].view(np.int64), "at": at}))
@@ -119,7 +150,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pd.concat(found)
 
     hits = texts.mapInPandas(search, "doc_id long, hash long, at long")
-    small = index.count() <= INDEX_ROWS
+    small = rows <= INDEX_ROWS
     diagonals = hits.join(F.broadcast(index) if small else index, "hash").select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
     diagonals = materialize(diagonals, "diagonals")
     hit_texts = texts.join(diagonals.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -135,8 +166,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     last, w = (doc, text), word_array(text, hashes)
                 v = word_array(item_text, hashes)
                 lo, hi = max(0, -diagonal), min(len(v), len(w) - diagonal)
-                start, stop, equal, score = best_run(v[lo:hi], w[lo + diagonal : hi + diagonal])
-                if score >= MIN_SCORE:
+                for start, stop, equal, score in runs(v[lo:hi], w[lo + diagonal : hi + diagonal], len(v)):
                     out.append((doc, item, lo + start + diagonal, lo + start, stop - start, equal, score))
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal", "score"])
