@@ -1,11 +1,12 @@
 """Personal data: exact base patterns, and further spans by weak supervision.
 
 Base spans (email, ip, card, phone) follow fixed patterns and checks. Further candidates are weaker forms of the same and
-secrets. For each, labelers of three sorts vote for, against or abstain: regex (its form), gazetteer (known mail hosts, area
-codes, key prefixes, card issuers) and context (words before it, what surrounds it). The votes are counted by pattern over all
-documents: a bounded table, from which expectation-maximisation (Dawid and Skene) estimates each labeler's reliability and
-the probability of each pattern. Those probabilities train the final classifier of spans, a logistic regression on the
-votes and the span's kind. Base spans always stay; candidates at or above the threshold join them.
+secrets. For each, labelers of three sorts vote for, against or abstain: regex (its form), gazetteer (mail hosts, area codes by
+their numbering rule, key prefixes, account lengths by country) and context (words before it, words behind it, its place). The
+votes are counted by pattern and by the span's shape (length and share of digits, three steps each) over all documents: a
+bounded table, from which expectation-maximisation (Dawid and Skene) estimates each labeler's reliability and the probability of
+each pattern. Those probabilities train the final classifier of spans, a logistic regression on the kind, the votes and the
+shape. Base spans always stay; candidates at or above the threshold join them.
 
 Edge cases: a null text counts as empty and has no spans; spans are in code points, ends exclusive; equal rows give equal
 results; with no candidate or one class only, the prior decides; an empty table gives no rows; other columns are ignored.
@@ -94,7 +95,24 @@ _HINT = {
 }
 _AGAINST = re.compile(r"(?i)\b(?:version|isbn|order|invoice|sha1|sha256|md5|commit|checksum|digest|part|serial)\b\W{0,6}\Z")
 MAIL_HOSTS = frozenset(["gmail", "yahoo", "outlook", "hotmail", "icloud", "example", "mail", "proton", "gmx", "web"])
-IBAN_LENGTHS = {"DE": 22, "FR": 27, "ES": 24, "GB": 22, "IT": 27, "NL": 18, "BE": 16, "AT": 20, "CH": 21, "PT": 25}  # fixed values
+IBAN_LENGTHS = {  # fixed values
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28,
+    "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24,
+}
+KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
+_BEHIND = {
+    "phone_local": re.compile(r"(?i)\A\W{0,3}(?:ext|extension|x[0-9]|mobile|cell|home|office|fax)\b"),
+    "email_spelled": re.compile(r"(?i)\A\W{0,3}(?:for|with|or|if|to)\b"),
+    "secret": re.compile(r"\A[\"']"),
+    "iban": re.compile(r"(?i)\A\W{0,3}(?:bic|swift)\b"),
+}
+_UNIT = re.compile(r"(?i)\A\x20?(?:px|mm|cm|kg|pcs|usd|eur|bytes|items|pages)\b")
+LABELERS = 5
+
+
+def _area_code(code: str) -> bool:
+    """Whether a number may be an area code: 2 to 9, then not 9, not x11, and none of the groups 37x and 96x that are kept free."""
+    return code[0] in "23456789" and code[1] != "9" and code[1:] != "11" and code[:2] not in ("37", "96") and code != "555"
 
 
 def _mod97(s: str) -> bool:
@@ -103,28 +121,33 @@ def _mod97(s: str) -> bool:
 
 
 def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
-    """Of each labeler 1 for, -1 against, 0 abstains: form, gazetteer, words before, place."""
+    """Of each labeler 1 for, -1 against, 0 abstains: form, gazetteer, words before, words behind, place."""
     span = text[start:end]
-    before = text[max(0, start - 40) : start]
+    before, behind = text[max(0, start - 40) : start], text[end : end + 20]
     if kind == "phone_local":
         digits = _NOT_DIGIT.sub("", span)
-        form = 1 if digits[0] not in "01" and digits[3] not in "01" else -1
-        gazetteer = -1 if digits[:3] in ("000", "555", "666", "999") or len(set(digits)) <= 2 else 0
+        form = -1 if digits[3] in "01" or len(set(digits)) <= 2 else 1
+        gazetteer = 1 if _area_code(digits[:3]) else -1
     elif kind == "email_spelled":
-        form = 1
+        form = 1 if len(span) >= 9 else 0
         gazetteer = 1 if MAIL_HOSTS & set(re.split(r"[^a-z]+", span.lower())) else 0
     elif kind == "secret":
-        counts = Counter(span)
-        form = 1 if len(counts) >= 8 else -1
-        gazetteer = 1 if span[:3] in ("AKI", "ASI", "ghp", "gho", "ghu", "ghs", "ghr", "sk-") else 0
+        form = 1 if len(set(span)) >= 8 else -1
+        gazetteer = 1 if span.startswith(KEY_PREFIXES) else 0
     else:
         bare = span.replace(" ", "")
-        form = 1 if bare[:2] in IBAN_LENGTHS and _mod97(bare) else -1
-        gazetteer = (1 if len(bare) == IBAN_LENGTHS[bare[:2]] else -1) if bare[:2] in IBAN_LENGTHS else -1
+        form = 1 if _mod97(bare) else -1
+        gazetteer = 1 if IBAN_LENGTHS.get(bare[:2]) == len(bare) else -1
     words = 1 if _HINT[kind].search(before) else -1 if _AGAINST.search(before) else 0
-    quoted = before[-1:] in "\"'=:" if before else False
-    place = 1 if quoted or before[-1:] in " (\n\t" or not before else -1
-    return form, gazetteer, words, place
+    after = 1 if _BEHIND[kind].search(behind) else -1 if _UNIT.search(behind) else 0
+    place = 1 if not before or before[-1] in " (\n\t\"'=:" else -1
+    return form, gazetteer, words, after, place
+
+
+def shape(span: str) -> tuple[int, int]:
+    """(step of the length, step of the share of digits), 0 to 2 each."""
+    share = sum("0" <= c <= "9" for c in span) / len(span)
+    return (0 if len(span) < 16 else 1 if len(span) < 33 else 2), (0 if share < 0.3 else 1 if share < 0.75 else 2)
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -160,27 +183,31 @@ def reliabilities(counts: dict[tuple, int], labelers: int, rounds: int = 50) ->
     return prior, yes, no
 
 
-def _features(kind: str, pattern: tuple[int, ...]) -> list[float]:
-    return [1.0, *(float(kind == k) for k in MORE), *(float(v == s) for v in pattern for s in (-1, 1))]
+def _features(kind: str, pattern: tuple[int, ...], form: tuple[int, int]) -> list[float]:
+    return [1.0, *(float(kind == k) for k in MORE), *(float(v == s) for v in pattern for s in (-1, 1)), *(float(f == s) for f in form for s in (1, 2))]
 
 
-def span_classifier(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 300) -> np.ndarray:
+def span_classifier(counts: dict[tuple[str, tuple[int, ...], tuple[int, int]], int], rounds: int = 300) -> np.ndarray:
     """Weights of the logistic regression that the estimated labels of all vote patterns train."""
-    labelers = 4
     rows, target, weight = [], [], []
     for kind in MORE:
-        own = {p: n for (k, p), n in counts.items() if k == kind}
+        own: Counter = Counter()
+        for (k, p, _), n in counts.items():
+            if k == kind:
+                own[p] += n
         if not own:
             continue
-        prior, yes, no = reliabilities(own, labelers)
-        for p, n in own.items():
+        prior, yes, no = reliabilities(own, LABELERS)
+        for (k, p, form), n in counts.items():
+            if k != kind:
+                continue
             v = np.array(p) + 1
-            a = np.log(prior) + np.log(yes[np.arange(labelers), v]).sum()
-            b = np.log(1 - prior) + np.log(no[np.arange(labelers), v]).sum()
-            rows.append(_features(kind, p))
+            a = np.log(prior) + np.log(yes[np.arange(LABELERS), v]).sum()
+            b = np.log(1 - prior) + np.log(no[np.arange(LABELERS), v]).sum()
+            rows.append(_features(kind, p, form))
             target.append(1 / (1 + np.exp(np.clip(b - a, -50, 50))))
             weight.append(n)
-    w = np.zeros(1 + len(MORE) + 2 * labelers)
+    w = np.zeros(1 + len(MORE) + 2 * LABELERS + 4)
     if not rows:
         return w
     x, y, n = np.array(rows), np.array(target), np.log1p(np.array(weight, float))
@@ -195,21 +222,22 @@ def span_classifier(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int
     return w
 
 
-def vote_counts(docs: DataFrame) -> dict[tuple[str, tuple[int, ...]], int]:
-    """How often each vote pattern occurs, over all documents; at most kinds x 81 rows reach the driver."""
+def vote_counts(docs: DataFrame) -> dict[tuple[str, tuple[int, ...], tuple[int, int]], int]:
+    """How often each vote pattern and shape occurs, over all documents; at most kinds x 3^LABELERS x 9 rows reach the driver."""
+    keys = [*(f"v{i}" for i in range(LABELERS)), "s0", "s1"]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
                 for kind, a, b in candidates(text, base_spans(text)):
-                    seen[(kind, *votes(kind, text, a, b))] += 1
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "v0", "v1", "v2", "v3", "n"])
+                    seen[(kind, *votes(kind, text, a, b), *shape(text[a:b]))] += 1
+        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", *keys, "n"])
 
     # only texts in which a candidate can occur need Python
     some = docs.select("text").filter(F.col("text").rlike(r"[0-9]{3}[ .)-][ .-]?[0-9]{3}|[0-9a-f]{32}|AKIA|ASIA|gh[pousr]_|sk-|[A-Z]{2}[0-9]{2}|[\[(](at|AT)[\])]"))
-    rows = some.mapInPandas(count, "kind string, v0 int, v1 int, v2 int, v3 int, n long").groupBy("kind", "v0", "v1", "v2", "v3").agg(F.sum("n").alias("n")).collect()
-    return {(r["kind"], (r["v0"], r["v1"], r["v2"], r["v3"])): r["n"] for r in rows}
+    rows = some.mapInPandas(count, f"kind string, {', '.join(f'{k} int' for k in keys)}, n long").groupBy("kind", *keys).agg(F.sum("n").alias("n")).collect()
+    return {(r["kind"], tuple(r[k] for k in keys[:LABELERS]), (r["s0"], r["s1"])): r["n"] for r in rows}
 
 
 def all_spans(text: str, weights: np.ndarray, threshold: float) -> tuple[list, list]:
@@ -217,7 +245,7 @@ def all_spans(text: str, weights: np.ndarray, threshold: float) -> tuple[list, l
     base = base_spans(text)
     more = []
     for kind, a, b in candidates(text, base):
-        z = float(np.dot(weights, _features(kind, votes(kind, text, a, b))))
+        z = float(np.dot(weights, _features(kind, votes(kind, text, a, b), shape(text[a:b]))))
         if 1 / (1 + np.exp(-z)) >= threshold:
             more.append((kind, a, b))
     order = KINDS + MORE
