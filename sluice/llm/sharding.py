@@ -1,16 +1,19 @@
 """Sharding by sampled splitters, in DataFrame functions only.
 
-Keys are the hash of the text, then doc_id, so equal texts lie side by side. A size-weighted sample of keys (bounded) gives
-quantile boundaries, which deal the records into ranges; ranges that turn out overfull are sampled again and cut, a hot text
+Keys are the hash of the text, then doc_id, so equal texts lie side by side. A size-weighted sample of distinct keys (bounded)
+gives quantile boundaries, which deal the records into ranges; ranges that turn out overfull are sampled again and cut, a hot text
 by doc_id. Exact sums of the ranges then place each record at its middle byte in the whole order, and that byte gives its shard.
-Groups of equal texts that are small beside a shard aren't cut; larger ones are.
+Groups of equal texts up to KEEP_WHOLE of a shard aren't cut, as that moves a shard's size by as little; larger ones are, since
+shards of near equal sizes are the law.
 
 Edge cases: a null text counts no bytes and equals other null texts; a null doc_id sorts first; rows repeated whole are
-kept, each with a slot of its own; an empty table gives no rows; other columns are ignored.
+kept, each with a slot of its own, in one range, as nothing tells them apart; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,7 +27,7 @@ KEEP_WHOLE = 0.01  # of a shard: groups of equal texts up to this size stay in o
 
 
 def _unit(seed: int) -> Column:
-    """A number in [0, 1) that depends on the row alone, so that a repeated task draws the same sample."""
+    """A number in [0, 1) that depends on the key alone, so that a repeated task draws the same sample."""
     return F.pmod(F.xxhash64("doc_id", "h", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
@@ -34,41 +37,49 @@ def _range_of(cuts: list[tuple[int, int]]) -> Column:
         return F.lit(0)
     width = max(1, math.isqrt(len(cuts)))
     key = F.struct(F.col("h").alias("h"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"))
-    lit = lambda rows: F.array(*[F.struct(F.lit(h).cast("long").alias("h"), F.lit(d).cast("long").alias("d")) for h, d in rows])
+    item = "array<struct<h:bigint,d:bigint>>"
+    lit = lambda rows, kind: F.from_json(F.lit(json.dumps(rows)), kind)  # noqa: E731  one literal, which is read once
+    row = lambda cs: [{"h": h, "d": d} for h, d in cs]
     rows = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    coarse = F.size(F.filter(lit([r[0] for r in rows]), lambda c: c <= key))
-    fine = F.element_at(F.array(*[lit(r) for r in rows]), F.greatest(coarse, F.lit(1)))
+    coarse = F.size(F.filter(lit(row(r[0] for r in rows), item), lambda c: c <= key))
+    fine = F.element_at(lit([row(r) for r in rows], f"array<{item}>"), F.greatest(coarse, F.lit(1)))
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * width + F.size(F.filter(fine, lambda c: c <= key)))
 
 
-def _cuts(sample: list, ranges: int) -> list[tuple[int, int]]:
-    """Quantile boundaries of sampled keys. A text that is drawn again and again is hot and is cut by doc_id, others whole."""
-    sample = sorted((r["h"], -(1 << 63) if r["doc_id"] is None else r["doc_id"]) for r in sample)
+def _cuts(sample: list, share: float, ranges: int) -> list[tuple[int, int]]:
+    """Quantile boundaries of sampled keys, each of which stands for `share` bytes or its own size. A text that outweighs a range
+    is hot and is cut by doc_id, others whole."""
+    sample = sorted((r["h"], -(1 << 63) if r["doc_id"] is None else r["doc_id"], max(share, float(r["size"]))) for r in sample)
     if not sample:
         return []
-    times: dict[int, int] = {}
-    for h, _ in sample:
-        times[h] = times.get(h, 0) + 1
-    step = max(1.0, len(sample) / ranges)
-    picked = [sample[min(len(sample) - 1, int(i * step))] for i in range(1, ranges)]
-    return sorted({(h, d if times[h] > step else -(1 << 63)) for h, d in picked})
+    weight: dict[int, float] = {}
+    for h, _, w in sample:
+        weight[h] = weight.get(h, 0.0) + w
+    step = sum(weight.values()) / ranges
+    out, upto, edge = set(), 0.0, step
+    for h, d, w in sample:
+        upto += w
+        if upto >= edge:
+            out.add((h, d if weight[h] > step else -(1 << 63)))
+            edge = step * (math.floor(upto / step) + 1)
+    return sorted(out)
 
 
 def sampled_cuts(keys: DataFrame, ranges: int, sample: int = SAMPLE) -> list[tuple[int, int]]:
     """Boundaries of about `ranges` ranges of near-equal bytes over keys (h, doc_id, size); overfull ranges are cut again."""
-    total = keys.agg(F.sum("size")).first()[0]
+    one = materialize(keys.groupBy("h", "doc_id").agg(F.sum("size").alias("size")), "shard-distinct")
+    total = one.agg(F.sum("size")).first()[0]
     if not total:
         return []
-    drawn = keys.filter(_unit(1) * F.lit(float(total)) < F.col("size") * F.lit(float(sample))).select("h", "doc_id").collect()
-    cuts = _cuts(drawn, ranges)
+    draw = lambda d, seed, weight: d.filter(_unit(seed) * F.lit(float(weight)) < F.col("size") * F.lit(float(sample))).select("h", "doc_id", "size").collect()  # noqa: E731  about `sample` rows
+    cuts = _cuts(draw(one, 1, total), total / sample, ranges)
     for again in range(3):
-        sizes = keys.groupBy(_range_of(cuts).alias("r")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+        sizes = one.groupBy(_range_of(cuts).alias("r")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
         over = {r["r"]: r["b"] for r in sizes if r["b"] > 2.5 * total / ranges and r["n"] > 1}
         if not over:
             break
         weight = sum(over.values())
-        more = keys.filter(_range_of(cuts).isin(list(over))).filter(_unit(2 + again) * F.lit(float(weight)) < F.col("size") * F.lit(float(sample)))
-        new = _cuts(more.select("h", "doc_id").collect(), max(2, round(weight / (total / ranges))))
+        new = _cuts(draw(one.filter(_range_of(cuts).isin(list(over))), 2 + again, weight), weight / sample, max(2, round(weight / (total / ranges))))
         if set(new) <= set(cuts):
             break
         cuts = sorted({*cuts, *new})
