@@ -372,7 +372,7 @@ _GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lo
 
 @query(f"""WITH d AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1), g AS (SELECT id, {_GRAMS % 'name'} AS g FROM d), u AS (SELECT id, len(g) AS n, unnest(g) AS t FROM g),
  m AS (SELECT x.id AS a, y.id AS b, count(*) AS c, any_value(x.n) AS nx, any_value(y.n) AS ny FROM u x JOIN u y ON x.t = y.t AND x.id < y.id GROUP BY 1, 2)
- SELECT 'alike' AS kind, a, b, round(c / (nx + ny - c), 6) AS similarity FROM m WHERE c / (nx + ny - c) >= 0.25 UNION ALL SELECT 'member', d.id, p_partkey, 1.0 FROM part JOIN d ON name = p_name WHERE p_partkey <> d.id""")
+ SELECT 'member' AS kind, d.id AS a, p_partkey AS b, 1.0 AS similarity FROM part JOIN d ON name = p_name WHERE p_partkey <> d.id UNION ALL SELECT 'alike', a, b, round(c / (nx + ny - c), 6) FROM m WHERE c / (nx + ny - c) >= 0.25""")
 def name_candidates_trigram(spark, sf_dir):
     (p,) = load(spark, sf_dir, "part")
     return resolve.name_candidates(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).withColumn("similarity", F.round("similarity", 6))
