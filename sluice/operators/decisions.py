@@ -7,7 +7,7 @@ import hashlib
 import hmac
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
@@ -23,16 +23,32 @@ def allowed(now: Column, to: Column) -> Column:
     return c
 
 
-def status_fold(events: DataFrame, key: str, order: list[str], to: str, start: str = "new") -> DataFrame:
-    """The status of each key after its events in order: what isn't allowed leaves it as it is. Refusals are counted."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(to).alias("to"))))
-    first = F.struct(F.lit(start).alias("status"), F.lit(0).alias("applied"), F.lit(0).alias("refused"))
+SLICE = 4096  # events of a key that one row holds
 
-    def step(s: Column, e: Column) -> Column:
-        ok, same = allowed(s["status"], e["to"]), s["status"] == e["to"]
-        return F.struct(F.when(ok, e["to"]).otherwise(s["status"]).alias("status"), (s["applied"] + F.when(ok & ~same, 1).otherwise(0)).alias("applied"), (s["refused"] + F.when(ok, 0).otherwise(1)).alias("refused"))
 
-    return events.groupBy(key).agg(F.aggregate(rows, first, step).alias("s")).select(key, "s.*")
+def status_fold(events: DataFrame, key: str, order: list[str], to: str, start: str = "new", slice_rows: int = SLICE) -> DataFrame:
+    """The status of each key after its events in order: what isn't allowed leaves it as it is. Refusals are counted.
+
+    A key's events are cut into slices in order. Each slice is folded from every status it may start with, and a key combines
+    its slices' outcomes, so a key with very many events is never one row.
+    """
+    def step(s: Column, e: Column) -> Column:
+        ok, same = allowed(s["status"], e), s["status"] == e
+        return F.struct(F.when(ok, e).otherwise(s["status"]).alias("status"), (s["applied"] + F.when(ok & ~same, 1).otherwise(0)).alias("applied"), (s["refused"] + F.when(ok, 0).otherwise(1)).alias("refused"))
+
+    zero = lambda status: F.struct(status.alias("status"), F.lit(0).alias("applied"), F.lit(0).alias("refused"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order, to)) - 1
+    cut = events.select(key, *order, F.col(to).alias("__to"), F.floor(place / slice_rows).alias("__slice"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, "__to"))), lambda r: r["__to"])
+    starts = F.array(*map(F.lit, dict.fromkeys([start, *K.STATUSES])))
+    slices = cut.groupBy(key, "__slice").agg(rows.alias("__rows")).withColumn("__ends", F.map_from_arrays(starts, F.transform(starts, lambda q: F.aggregate("__rows", zero(q), step))))
+
+    def combine(s: Column, part: Column) -> Column:
+        end = F.element_at(part["__ends"], s["status"])
+        return F.struct(end["status"].alias("status"), (s["applied"] + end["applied"]).alias("applied"), (s["refused"] + end["refused"]).alias("refused"))
+
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("__slice", F.map_entries("__ends").alias("__e")))), lambda p: F.struct(F.map_from_entries(p["__e"]).alias("__ends")))
+    return slices.groupBy(key).agg(F.aggregate(parts, zero(F.lit(start)), combine).alias("s")).select(key, "s.*")
 
 
 def snooze_until(asked: Column, now: Column, due: Column, days: int = 3) -> Column:

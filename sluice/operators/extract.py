@@ -25,21 +25,37 @@ def head_and_tail(c: Column, most: int, head: float) -> Column:
 
 
 def assemble(messages: DataFrame, attachments: DataFrame) -> DataFrame:
-    """One row a message: its columns, and its first attachments (those with a priority word in the name before others) as an array."""
+    """One row a message: its columns, and its first attachments with a text (those with a priority word in the name before others) as an array."""
     named = F.lit(False)
     for w in PRIORITY:
         named = named | F.lower("filename").contains(w)
     order = Window.partitionBy("message_id").orderBy(F.when(named, 0).otherwise(1), "position")
-    best = attachments.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= ATTACHMENTS)
+    best = attachments.filter(F.col("text") != "").withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= ATTACHMENTS)
     lists = best.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct(F.col("__k").alias("k"), "filename", head_and_tail(F.col("text"), ATTACHMENT, 2 / 3).alias("text")))).alias("attachments"))
     return messages.join(lists, "message_id", "left")
 
 
+def _escaped(c: Column) -> Column:
+    """A value that becomes part of the prompt's own marks."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
 def prompt(inputs: DataFrame) -> DataFrame:
-    """message_id, prompt: subject, body, attachments and links of assembled inputs, each within its limit."""
-    files = F.array_join(F.transform(F.coalesce("attachments", F.array().cast("array<struct<k:int,filename:string,text:string>>")), lambda a: F.concat(F.lit("## "), a["filename"], F.lit("\n"), F.coalesce(a["text"], F.lit("")))), "\n")
-    links = F.array_join(F.slice(F.coalesce("links", F.array().cast("array<string>")), 1, LINKS), "\n")
-    return inputs.select("message_id", F.concat_ws("\n\n", "subject", head_and_tail(F.col("body"), BODY, 0.5), F.nullif(files, F.lit("")), F.nullif(links, F.lit(""))).alias("prompt"))
+    """message_id, prompt: sender, subject, body, links and attachments of assembled inputs between marks, each within its limit.
+
+    Names of files are escaped, as a name could forge a mark otherwise.
+    """
+    block = lambda tag, c: F.concat(F.lit(f"<{tag}>\n"), c, F.lit(f"\n</{tag}>"))
+    line = lambda tag, c: F.concat(F.lit(f"<{tag}>"), F.coalesce(c, F.lit("")), F.lit(f"</{tag}>"))
+    files = F.transform(F.coalesce("attachments", F.array().cast("array<struct<k:int,filename:string,text:string>>")), lambda a: F.concat(F.lit('<attachment name="'), _escaped(a["filename"]), F.lit('">\n'), a["text"], F.lit("\n</attachment>")))
+    links = F.slice(F.coalesce("links", F.array().cast("array<string>")), 1, LINKS)
+    parts = F.concat(
+        F.array(F.lit("<message>"), line("from", F.col("sender")), line("subject", F.col("subject")), block("body", head_and_tail(F.coalesce("body", F.lit("")), BODY, 0.5))),
+        F.when(F.size(links) > 0, F.array(block("links", F.array_join(links, "\n")))).otherwise(F.array().cast("array<string>")), files, F.array(F.lit("</message>")),
+    )
+    return inputs.select("message_id", F.array_join(parts, "\n").alias("prompt"))
 
 
 def _filled(d: pd.DataFrame, names: list[str]) -> pd.DataFrame:

@@ -396,3 +396,16 @@ def snapshot_versions(spark, sf_dir):
     write_snapshot(o, path, 2)
     of = lambda d, v: d.agg(F.lit(v).alias("version"), F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 100_000).alias("large"))
     return of(read_snapshot(spark, path, 1), 1).unionByName(of(read_snapshot(spark, path), 2))
+
+
+@query("""WITH d AS (SELECT doc_id AS message_id, CASE WHEN length(text) <= 20000 THEN text ELSE substr(text, 1, 10000) || chr(10) || '[...]' || chr(10) || right(text, 10000) END AS body, source FROM documents)
+ SELECT message_id, '<message>' || chr(10) || '<from>a@b.c</from>' || chr(10) || '<subject>' || source || '</subject>' || chr(10) || '<body>' || chr(10) || body || chr(10) || '</body>' || chr(10)
+ || CASE WHEN message_id % 2 = 0 THEN '<links>' || chr(10) || array_to_string(list_transform(range(1, 51), lambda i: 'http://x/' || i), chr(10)) || chr(10) || '</links>' || chr(10) ELSE '' END
+ || CASE WHEN message_id % 3 = 0 THEN '<attachment name="scope &lt;1&gt; &amp; &quot;2&quot;.txt">' || chr(10) || source || chr(10) || '</attachment>' || chr(10) ELSE '' END || '</message>' AS prompt FROM d""")
+def prompts_built(spark, sf_dir):
+    (d,) = load(spark, sf_dir, "documents")
+    links = F.when(F.col("doc_id") % 2 == 0, F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("http://x/"), i.cast("string"))))
+    m = d.select(F.col("doc_id").alias("message_id"), F.lit("a@b.c").alias("sender"), F.col("source").alias("subject"), F.col("text").alias("body"), links.alias("links"))
+    files = d.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("message_id"), F.lit('scope <1> & "2".txt').alias("filename"), F.lit(1).alias("position"), F.col("source").alias("text"))
+    empty = files.withColumns({"text": F.lit(""), "filename": F.lit("itb.txt")})
+    return extract.prompt(extract.assemble(m, files.unionByName(empty)))

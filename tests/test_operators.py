@@ -138,7 +138,7 @@ def test_attachments(spark):
         f.writestr("a.txt", "hello")
         f.writestr("b.pdf", "x")
     rows = attachments.extract("x.zip", z.getvalue())
-    assert [(m, t, e) for m, t, _, e in rows] == [(None, None, None), ("a.txt", "hello", None), ("b.pdf", None, "unsupported")]
+    assert [(m, t, e) for m, t, _, e in rows] == [(None, "a.txt\nb.pdf", None), ("a.txt", "hello", None), ("b.pdf", None, "unsupported")]
     assert attachments.extract("bad.zip", b"zzz")[0][3]
 
 
