@@ -73,17 +73,25 @@ def leaves_of(paragraphs: Column) -> Column:
     return F.filter(F.flatten(F.transform(paragraphs, lambda x: F.split(F.substring_index(x, "=", -1), "\\."))), lambda x: x != "")
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once a row."""
+    return F.element_at(F.transform(F.array(value), then), F.lit(1))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints: 1 for equal roots, else twice the common leaves over the leaves of both. Each branch counts once."""
-    x, y = F.array_distinct(sections_of(a)), F.array_distinct(sections_of(b))
     size = lambda c: F.size(leaves_of(c))
-    both = size(paragraphs_of(F.array_intersect(x, y)))
-    px, py = F.array_distinct(paragraphs_of(F.array_except(x, y))), F.array_distinct(paragraphs_of(F.array_except(y, x)))
-    both_p = size(F.array_intersect(px, py))
-    lx, ly = F.array_distinct(leaves_of(F.array_except(px, py))), F.array_distinct(leaves_of(F.array_except(py, px)))
-    common = both + both_p + F.size(F.array_intersect(lx, ly))
-    every = 2 * (both + both_p) + F.size(lx) + F.size(ly)
-    return F.when(a == b, 1.0).otherwise(F.coalesce(F.try_divide(2.0 * common, every), F.lit(0.0)))
+    level = lambda common, x, y: F.struct(common.alias("common"), F.array_distinct(x).alias("x"), F.array_distinct(y).alias("y"))
+    below = lambda s, part: (part(F.array_except(s["x"], s["y"])), part(F.array_except(s["y"], s["x"])))  # noqa: E731  of what differs
+    sections = level(F.lit(0), sections_of(a), sections_of(b))
+    paragraphs = lambda s: level(size(paragraphs_of(F.array_intersect(s["x"], s["y"]))), *below(s, paragraphs_of))
+    leaf_level = lambda p: level(p["common"] + size(F.array_intersect(p["x"], p["y"])), *below(p, leaves_of))
+
+    def share(f: Column) -> Column:
+        same = f["common"] + F.size(F.array_intersect(f["x"], f["y"]))
+        return F.coalesce(F.try_divide(2.0 * same, 2 * f["common"] + F.size(f["x"]) + F.size(f["y"])), F.lit(0.0))
+
+    return F.when(a == b, 1.0).otherwise(_let(sections, lambda s: _let(paragraphs(s), lambda p: _let(leaf_level(p), share))))
 
 
 def edits(a: Column, b: Column) -> Column:
