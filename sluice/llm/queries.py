@@ -1,6 +1,7 @@
 """The subpackage's registered queries, and their SQL where SQL can express them."""
 
 from sluice.llm.decontaminate import op1_decontamination
+from sluice.llm.fim import OP11_SQL, op11_fill_in_middle
 from sluice.llm.jaccard import op2_jaccard_join
 from sluice.llm.merkle import op7_fingerprints
 from sluice.llm.packing import op10_packing
@@ -22,8 +23,10 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
+    "op11_fill_in_middle": OP11_SQL,
     "op2_jaccard_join": r"""WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM w),
