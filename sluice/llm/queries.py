@@ -1,5 +1,6 @@
 """The subpackage's registered queries, and their SQL where SQL can express them."""
 
+from sluice.llm.bpe import op12_bpe
 from sluice.llm.decontaminate import op1_decontamination
 from sluice.llm.fim import OP11_SQL, op11_fill_in_middle
 from sluice.llm.jaccard import op2_jaccard_join
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_bpe": op12_bpe,
 }
 ORACLES: dict[str, str] = {
     "op11_fill_in_middle": OP11_SQL,
