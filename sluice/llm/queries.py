@@ -8,6 +8,7 @@ from sluice.llm.merkle import op7_fingerprints
 from sluice.llm.packing import op10_packing
 from sluice.llm.pii import op6_pii
 from sluice.llm.quality import op3_quality
+from sluice.llm.runs import op13_periodic_runs
 from sluice.llm.sharding import op8_sharding
 from sluice.llm.token_files import op9_token_files
 from sluice.llm.toxicity import op5_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_bpe": op12_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op11_fill_in_middle": OP11_SQL,
