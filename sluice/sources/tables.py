@@ -52,6 +52,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{working_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the working folder, read again: lineage and estimates of size start afresh, and a lost executor costs nothing."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

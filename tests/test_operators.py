@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sluice.operators import curation, decisions, digest, ingest, merge, resolve, score
 from sluice.sources import attachments, mail
 from sluice.streaming import streams
+from tests import plain_resolution
 
 NOW = datetime(2026, 9, 30, 6, 30)
 
@@ -66,10 +67,10 @@ def messages(n, seed=0):
     return out
 
 
-def test_components_fold_as_one_sequence_does(spark):
-    """Folding components apart gives what a plain pass over all messages gives."""
+def test_messages_resolved_as_one_sequence_does(spark):
+    """Rounds over all messages give what a plain pass over them gives."""
     rows = messages(60)
-    want = {r[0]: (r[1], r[2]) for r in resolve.fold_messages([dict(r, gc_id=float("nan") if r["gc_id"] is None else float(r["gc_id"])) for r in rows])}
+    want = {r[0]: (r[1], r[2]) for r in plain_resolution.fold_messages([dict(r, gc_id=float("nan") if r["gc_id"] is None else float(r["gc_id"])) for r in rows])}
     df = spark.createDataFrame([tuple(r.values()) for r in rows], resolve.MESSAGE)
     got = {r["message_id"]: (r["opp_id"], r["role"]) for r in resolve.resolve(df).collect()}
     assert {k: v[0] for k, v in got.items() if v[1] == "merge"} == {k: v[0] for k, v in want.items() if v[1] == "merge"}
