@@ -144,17 +144,21 @@ def states_removal(c: Column) -> Column:
     return _is(F.coalesce(c, F.lit("")), K.REMOVAL)
 
 
+def removal_clauses(c: Column) -> Column:
+    """The clauses that state a removal, as lower-cased words between single spaces."""
+    clauses = F.filter(F.split(F.coalesce(c, F.lit("")), r"[.;\n]"), states_removal)
+    return F.transform(clauses, lambda s: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")), F.lit(" ")))
+
+
 def removed_items(changes: Column, items: Column) -> Column:
     """Items named as whole words in a clause that states a removal; of those in one clause, none that another one's name holds."""
     spoken = lambda i: F.replace(i, F.lit("_"), F.lit(" "))
-    clauses = F.filter(F.split(F.coalesce(changes, F.lit("")), r"[.;\n]"), states_removal)
-    words = lambda s: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")), F.lit(" "))
 
     def of(clause: Column) -> Column:
-        named = F.filter(items, lambda i: words(clause).contains(F.concat(F.lit(" "), spoken(i), F.lit(" "))))
+        named = F.filter(items, lambda i: clause.contains(F.concat(F.lit(" "), spoken(i), F.lit(" "))))
         return F.filter(named, lambda i: ~F.exists(named, lambda j: (j != i) & spoken(j).contains(spoken(i))))
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(clauses, of))))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(removal_clauses(changes), of))))
 
 
 def merged_scope(old: Column, new: Column, changes: Column) -> Column:
@@ -180,8 +184,8 @@ def addendum_number(c: Column) -> Column:
 
 
 def addendum_scheme(c: Column) -> Column:
-    """The label's words but for no, num and number, such as addendum or bulletin."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(c, r"[^A-Za-z]+", " ")), " "), lambda w: (w != "") & ~w.isin("no", "num", "number"))
+    """The label's words but for no and num, such as addendum or bulletin."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(c, r"[^A-Za-z]+", " ")), " "), lambda w: (w != "") & ~w.isin("no", "num"))
     return F.array_join(words, " ")
 
 

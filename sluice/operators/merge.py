@@ -19,6 +19,8 @@ def merge_date(old: datetime | None, new: datetime | None, kind: str, sent: date
     """(value, outcome): none, set, same, moved, stale, locked, conflict or kept."""
     if new is None:
         return old, "none"
+    if old is not None and kind in K.DATE_MOVERS and sent is not None and as_of is not None and sent < as_of:
+        return old, "stale"
     if locked:
         return old, "conflict" if old is not None and old != new else "locked"
     if old is None:
@@ -27,8 +29,6 @@ def merge_date(old: datetime | None, new: datetime | None, kind: str, sent: date
         return old, "same" if old.date() == new.date() else "conflict"
     if kind not in K.DATE_MOVERS:
         return old, "kept"
-    if sent is not None and as_of is not None and sent < as_of:
-        return old, "stale"
     return (old, "same") if old == new else (new, "moved")
 
 
@@ -69,7 +69,7 @@ def addendum_gaps(df: DataFrame, key: str, number: str) -> DataFrame:
 
 
 def union_arrays(df: DataFrame, key: str, *arrays: str) -> DataFrame:
-    return df.groupBy(key).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(a)))).alias(a) for a in arrays])
+    return df.groupBy(key).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_set(a)))).alias(a) for a in arrays])
 
 
 def archive_stale(opps: DataFrame, now: Column, days: int = 180) -> DataFrame:

@@ -117,7 +117,7 @@ def files_sniffed(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), text.safe_filename(name).alias("file"), text.sniff_mime(heads.cast("binary"), F.lit("text/plain")).alias("mime"))
 
 
-ADDENDA = [("Addendum No. 3", "addendum", 3), ("ADDENDUM 12", "addendum", 12), ("Bulletin #2", "bulletin", 2), ("Addendum A", "addendum a", None)]
+ADDENDA = [("Addendum No. 3", "addendum", 3), ("ADDENDUM 12", "addendum", 12), ("Bulletin #2", "bulletin", 2), ("Addendum A", "addendum a", None), ("Addendum Number 4", "addendum number", 4)]
 
 
 @query(f"SELECT c_custkey AS id, {turn_sql('c_custkey', [s for _, s, _ in ADDENDA])} AS scheme, {turn_sql('c_custkey', [n for *_, n in ADDENDA], 'INTEGER')} AS number, c_name || CASE WHEN c_custkey % 4 > 1 THEN ' (' || c_custkey % 4 || ' changes)' ELSE '' END AS note FROM customer")

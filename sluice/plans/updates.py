@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluice.operators import update
 from sluice.plans.registry import query
 from sluice.plans.rules import turn, turn_sql
-from sluice.sources.tables import load
+from sluice.sources.tables import load, written
 
 KINDS = ["itb", "addendum", "reminder", "date_change", "award", "rfi_response", "itb"]
 TYPES = ["hard_bid", "unknown", "negotiated", "hard_bid"]
@@ -77,3 +77,31 @@ def awards_folded(spark, sf_dir):
     a = update.apply_updates(_messages(spark, sf_dir))
     h = update.history(a).filter("field = 'status'").groupBy("opp_id").agg(F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("refused"))
     return update.final_states(a).select("opp_id", "status").join(h, "opp_id", "left").select("opp_id", "status", F.coalesce("applied", F.lit(0)).alias("applied"), F.coalesce("refused", F.lit(0)).alias("refused"))
+
+
+@query(f"""WITH RECURSIVE {_M}, r AS (SELECT opp_id, 0::BIGINT AS pos, CASE WHEN opp_id % 2 = 0 THEN 'submitted' ELSE 'bidding' END AS status, false AS ended FROM (SELECT DISTINCT opp_id FROM m)
+ UNION ALL SELECT m.opp_id, m.pos, CASE WHEN m.kind = 'award' AND {_ALLOWED} THEN m.outcome ELSE r.status END, coalesce(m.kind = 'award' AND {_ALLOWED}, false) FROM r JOIN m ON m.opp_id = r.opp_id AND m.pos = r.pos + 1)
+ SELECT opp_id, pos, status AS result, CASE status WHEN 'won' THEN 'You have been awarded' WHEN 'lost' THEN 'we regret to inform you' ELSE 'it is cancelled' END AS notes FROM r WHERE ended""")
+def outcomes_recorded(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    return update.outcomes(update.apply_updates(m), m).select("opp_id", F.col("position").cast("long").alias("pos"), "result", "notes")
+
+
+@query(f"""WITH {_M}, l AS (SELECT opp_id, pos, kind, CASE WHEN pos % 2 = 0 THEN (opp_id + pos) % 3 + 1 END AS number FROM m)
+ SELECT opp_id, CASE WHEN number IS NULL THEN 'Addendum ()' ELSE 'Addendum ' || number END AS label, CAST(min(number) AS INTEGER) AS number, min(pos) AS message_id, count(*) AS copies FROM l WHERE kind = 'addendum' OR number IS NOT NULL GROUP BY 1, 2""")
+def addenda_recorded(spark, sf_dir):
+    pos = F.col("position")
+    m = _messages(spark, sf_dir).withColumn("addendum_number", F.when(pos % 2 == 0, (F.col("opp_id") + pos) % 3 + 1))
+    return update.addenda(m).select("opp_id", "label", "number", F.col("message_id").cast("long").alias("message_id"), "copies")
+
+
+@query(f"""{_FOLD} SELECT opp_id, arg_max(due, pos) AS bid_due, count(*) FILTER (WHERE what IN ('set', 'moved')) AS due_moves FROM r GROUP BY opp_id""")
+def updates_resumed(spark, sf_dir):
+    """A run over each opportunity's first three messages, then one over the rest that starts from its stored records."""
+    m = _messages(spark, sf_dir)
+    first = update.apply_updates(m.filter("position <= 3"), keep=True)
+    stored = written(update.records(first), "records")
+    second = update.apply_updates(m.filter("position > 3"), start=stored)
+    both = update.final_states(first).select("opp_id", F.lit(1).alias("part"), "bid_due", "due_moves").unionByName(update.final_states(second).select("opp_id", F.lit(2).alias("part"), "bid_due", "due_moves"))
+    last = both.groupBy("opp_id").agg(F.max_by(F.struct("bid_due", "due_moves"), "part").alias("s"))
+    return last.select("opp_id", F.col("s.bid_due").cast("timestamp_ntz").alias("bid_due"), F.col("s.due_moves").cast("long").alias("due_moves"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions.similarity import indel_ratio
-from sluice.operators import directory, extract, prefix, update
+from sluice.operators import directory, extract, merge, prefix, update
 from sluice.sources import attachments
 
 DAY = lambda n, h=0: datetime(2026, 10, n, h)
@@ -29,8 +29,14 @@ def test_dates(spark):
     ]
     s, log = run(spark, m)
     assert s["bid_due"] == DAY(21) and s["due_moves"] == 3 and s["material"] and s["flags"] == ["date_conflict"]
-    assert s["summary"] == "Due date moved Oct 20 → Oct 21 (Addendum 2) (3 changes)"
-    assert log == [(0, "bid_due", True), (1, "bid_due", False), (2, "bid_due", True), (3, "bid_due", False), (5, "bid_due", True)]
+    assert s["summary"] == "Due date: Oct 20 to Oct 21 [Addendum 2], change 3; addendum: Addendum 2"
+    assert [x for x in log if x[1] == "bid_due"] == [(0, "bid_due", True), (1, "bid_due", False), (2, "bid_due", True), (3, "bid_due", False), (5, "bid_due", True)]
+    assert [x for x in log if x[1] != "bid_due"] == [(3, "addenda", True), (5, "addenda", True)]
+
+
+def test_an_old_message_on_a_locked_date_is_stale_not_a_conflict():
+    assert merge.merge_date(DAY(9), DAY(8), "itb", DAY(1), DAY(2), locked=True) == (DAY(9), "stale")
+    assert merge.merge_date(DAY(9), DAY(8), "itb", DAY(3), DAY(2), locked=True) == (DAY(9), "conflict")
 
 
 def test_locked_fields_stay(spark):
@@ -48,7 +54,7 @@ def test_scope_sizes_names_and_awards(spark):
     ]
     s, log = run(spark, m, status="submitted")
     assert s["scope_items"] == ["generator", "lighting"] and s["channels"] == ["mail", "portal"] and s["square_feet"] == 200 and s["project_name"] == "Tower C"
-    assert s["status"] == "won" and s["material"] and s["flags"] == ["removed_by_addendum"] and s["summary"] == "marked won by sender"
+    assert s["status"] == "won" and s["material"] and s["flags"] == ["removed_by_addendum"] and s["summary"] == "status: lost to won, as the sender says"
     assert (3, "status", True) in log and (4, "status", True) in log
     s, log = run(spark, m[3:4], status="undecided")
     assert s["status"] == "lost"
@@ -63,6 +69,92 @@ def test_a_sooner_date_ends_a_snooze(spark):
     assert s["status"] == "snoozed"
 
 
+def test_addenda_gaps_and_outcomes(spark):
+    m = [
+        {"kind": "addendum", "addendum_number": 1}, {"kind": "addendum", "addendum_label": "Addendum 3"}, {"kind": "date_change", "addendum_label": "Addendum 3"}, {"kind": "addendum", "subject": "Revised drawings"},
+        {"kind": "award", "award_text": "we regret to inform you"}, {"kind": "award", "award_text": "it is cancelled", "subject": "end"},
+    ]
+    flags = [run(spark, m[:n], status="submitted")[0]["flags"] for n in (1, 2, 4)]
+    assert flags == [[], ["addendum_gap"], []]  # a label without a number ends the check
+    rows = [{"opp_id": 1, "position": i, "message_id": i, "status": "submitted", **x} for i, x in enumerate(m)]
+    d = spark.createDataFrame([tuple(r.get(c) for c in ("opp_id", "position", *update.MESSAGE, *update.START)) for r in rows], "opp_id long, position long, " + ", ".join(f"{c} {t}" for c, t in {**update.MESSAGE, **update.START}.items()))
+    got = {r["label"]: (r["number"], r["message_id"], r["copies"]) for r in update.addenda(d).collect()}
+    assert got == {"Addendum 1": (1, 0, 1), "Addendum 3": (3, 1, 2), "Addendum (Revised drawings)": (None, 3, 1)}
+    ended = [(r["position"], r["result"], r["notes"]) for r in update.outcomes(update.apply_updates(d), d).orderBy("position").collect()]
+    assert ended == [(4, "lost", "we regret to inform you"), (5, "cancelled", "it is cancelled")]
+
+
+def several(n, seed):
+    rnd = random.Random(seed)
+    pick = lambda *xs: rnd.choice(xs)
+    return [
+        {
+            "opp_id": pick(1, 2, 3, 4), "position": i, "message_id": i, "kind": pick("itb", "addendum", "reminder", "date_change", "award"), "sent_at": DAY(pick(*range(1, 28))), "bid_due": pick(None, DAY(pick(*range(1, 28)))),
+            "prebid": pick(None, DAY(3), DAY(4)), "scope_items": pick(None, ["lighting"], ["site_lighting", "generator"]), "channel": pick(None, "mail", "portal"), "flags": pick(None, ["bid_bond"]), "bid_type": pick("gmp", "unknown", None, "budget"),
+            "square_feet": pick(None, 10.0, 90.0), "gc_name": pick("A", "B", None), "gc_name_confidence": pick(0.1, 0.5, 0.9), "changes_described": pick(None, "Site lighting is removed."), "award_text": pick(None, "it is cancelled", "you have been awarded"),
+            "addendum_number": pick(None, None, 1, 2, 4), "provisional": pick(None, False, True), "status": "submitted", "snooze_until": None, "locked": pick([], []),
+        }
+        for i in range(n)
+    ]
+
+
+ALL = {"opp_id": "long", "position": "long", **update.MESSAGE, **update.START}
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([tuple(r.get(c) for c in ALL) for r in rows], ", ".join(f"{c} {t}" for c, t in ALL.items()))
+
+
+def applied_rows(d):
+    return sorted((r.asDict(True) for r in d.drop("record").collect()), key=lambda r: r["position"])
+
+
+def test_a_run_in_parts_equals_one(spark):
+    rows = several(120, 3)
+    whole = update.apply_updates(frame(spark, rows))
+    first = update.apply_updates(frame(spark, rows[:50]), keep=True)
+    second = update.apply_updates(frame(spark, rows[50:]), start=update.records(first))
+    assert applied_rows(first) + applied_rows(second) == applied_rows(whole)
+
+
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield spark
+    spark.conf.unset(key)
+
+
+def streamed(spark, source, at, name, **how):
+    out = f"{at}/{name}"
+    d = update.update_stream(spark.readStream.schema(frame(spark, []).schema).parquet(source), **how)
+    d.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+def test_a_stream_stopped_and_started_again(rocks, tmp_path):
+    rows, source = several(120, 4), str(tmp_path / "source")
+    whole = applied_rows(update.apply_updates(frame(rocks, rows)))
+    frame(rocks, rows[:50]).coalesce(1).write.parquet(source)
+    assert applied_rows(streamed(rocks, source, tmp_path, "all")) == [r for r in whole if r["position"] < 50]
+    frame(rocks, rows[50:]).coalesce(1).write.mode("append").parquet(source)
+    assert applied_rows(streamed(rocks, source, tmp_path, "all")) == whole
+    before = update.records(update.apply_updates(frame(rocks, rows[:50]), keep=True))
+    later = str(tmp_path / "later")
+    frame(rocks, rows[50:]).coalesce(1).write.parquet(later)
+    assert applied_rows(streamed(rocks, later, tmp_path, "snapshot", start=before)) == [r for r in whole if r["position"] >= 50]
+
+
+def test_event_time_ends_a_snooze(rocks, tmp_path):
+    at = lambda i, day, **m: {"opp_id": i, "position": day, "message_id": day, "sent_at": DAY(day), "kind": "reminder", "status": "snoozed" if i == 1 else "bidding", "snooze_until": DAY(5) if i == 1 else None, **m}
+    source = str(tmp_path / "source")
+    for day in (1, 9, 12):
+        frame(rocks, [at(1 if day == 1 else 2, day)]).coalesce(1).write.mode("append").parquet(source)
+        got = streamed(rocks, source, tmp_path, "out", arrived="sent_at", late="1 day").collect()
+    over = [r for r in got if r["position"] is None]
+    assert [(r["opp_id"], r["status"], r["changes"][0]["why"]) for r in over] == [(1, "undecided", "rested")]
+
+
 def words(rnd):
     return " ".join("".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(1, 3)))
 
