@@ -1,3 +1,5 @@
+import pandas as pd
+import random
 from datetime import datetime
 
 import pytest
@@ -126,3 +128,15 @@ def test_lcs_by_brute_force():
         a, b = ("".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 12))) for _ in "xy")
         if a or b:
             assert similarity.indel_ratio(a, b) == pytest.approx(2 * lcs(a, b) / (len(a) + len(b)))
+
+
+def test_ratios_of_many_pairs():
+    """Many pairs at once have the ratios that each has alone."""
+    rnd = random.Random(3)
+    text = lambda: " ".join("".join(rnd.choice("abcé1") for _ in range(rnd.choice([0, 1, 3, 9, 40]))) for _ in range(rnd.randint(1, 3)))
+    a, b = [text() for _ in range(600)], [text() for _ in range(600)]
+    b[:50], a[50:60] = a[:50], ["x" * 64, "y" * 65, "\0", "\0a", "", " ", "ab" * 32, "ab" * 33, "é" * 64, "z"]
+    b[50:60] = ["x" * 64, "y" * 65, "\0", "a", "", "a", "ba" * 32, "ba" * 33, "é" * 63, "z" * 64]
+    assert similarity.indel_ratios(a, b, rows=100).tolist() == [similarity.indel_ratio(x, y) for x, y in zip(a, b)]
+    want = [max(similarity.token_set_ratio(x, y), similarity.indel_ratio(x, y)) if x and y else 0.0 for x, y in zip(a, b)]
+    assert similarity._of_known(pd.Series(a), pd.Series(b), similarity._name_ratios).tolist() == pytest.approx(want)
