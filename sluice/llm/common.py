@@ -52,6 +52,14 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(uri)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def write_bytes(uri: str, data: bytes) -> None:
     """Write one file whole: under a name of its own first, then moved, so a repeated or parallel attempt does no harm."""
     from pyarrow import fs as pafs

@@ -9,8 +9,8 @@ its score reaches MIN_SCORE, or when it spans SPAN of the item and EQUAL of the
 differ too. Items of SHORT to WINDOW - 1 words have no room for a mask: they are sought whole and word for word.
 
 Edge cases: null and empty texts and items match nothing; items of fewer than SHORT words are never reported, as such words
-stand in any text; null ids match nothing; equal items and documents all are reported; an empty table on either side gives no
-rows; other columns are ignored.
+stand in any text; an item with a null item_id matches nothing; a document with a null doc_id is searched like any other; equal
+items and documents all are reported; an empty table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import WordHash, load, materialize, mix64
+from sluice.llm.common import WordHash, fresh, load, materialize, mix64
 
 # Fixed masks of weight 6: 1 counts, 0 is ignored. Each leaves out a residue of 3, 4, 5 or 6, so one of them fits between changes that recur so often.
 MASKS = ("111111", "1111011", "1110111", "11011011")
@@ -127,10 +127,21 @@ def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return hit
 
 
+def _key() -> Column:
+    """What a document goes by: its id, without one its text's hash."""
+    return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, doc_start, item_start, n_words, n_equal, score: verified overlaps, places and lengths in words."""
+    found = keyed_overlaps(docs, benchmark)
+    return found.select(F.when(~F.col("key").startswith("text:"), F.col("key")).cast("long").alias("doc_id"), *[c for c in found.columns if c != "key"])
+
+
+def keyed_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """overlaps() by _key() instead of doc_id."""
     spark = docs.sparkSession
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(_key().alias("key"), "text")
     index = seed_index(benchmark)
     rows = index.count()
     bits = spark.sparkContext.broadcast(bloom(index, rows))
@@ -140,20 +151,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hashes, bitmap = WordHash(bare), bits.value
         for batch in batches:
             found = []
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+            for key, text in zip(batch["key"].tolist(), batch["text"].tolist()):
                 w = word_array(text, hashes)
                 for h in itertools.chain(seeds(w), whole_seeds(w, short)):
                     at = np.flatnonzero(_in(bitmap, h))
                     if len(at):
-                        found.append(pd.DataFrame({"doc_id": doc, "hash": h[at].view(np.int64), "at": at}))
+                        found.append(pd.DataFrame({"key": key, "hash": h[at].view(np.int64), "at": at}))
             if found:
                 yield pd.concat(found)
 
-    hits = texts.mapInPandas(search, "doc_id long, hash long, at long")
+    hits = texts.mapInPandas(search, "key string, hash long, at long")
     small = rows <= INDEX_ROWS
-    diagonals = hits.join(F.broadcast(index) if small else index, "hash").select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+    diagonals = hits.join(F.broadcast(index) if small else index, "hash").select("key", "item_id", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
     diagonals = materialize(diagonals, "diagonals")
-    hit_texts = texts.join(diagonals.select("doc_id").distinct(), "doc_id", "left_semi")
+    hit_texts = texts.join(diagonals.select("key").distinct(), "key", "left_semi")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,24 +172,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         last, w = None, None
         for batch in batches:
             out = []
-            for doc, text, item, item_text, diagonal in batch[["doc_id", "text", "item_id", "item", "diagonal"]].itertuples(index=False):
-                if last != (doc, text):
-                    last, w = (doc, text), word_array(text, hashes)
+            for key, text, item, item_text, diagonal in batch[["key", "text", "item_id", "item", "diagonal"]].itertuples(index=False):
+                if last != (key, text):
+                    last, w = (key, text), word_array(text, hashes)
                 v = word_array(item_text, hashes)
                 lo, hi = max(0, -diagonal), min(len(v), len(w) - diagonal)
                 for start, stop, equal, score in runs(v[lo:hi], w[lo + diagonal : hi + diagonal], len(v)):
-                    out.append((doc, item, lo + start + diagonal, lo + start, stop - start, equal, score))
+                    out.append((key, item, lo + start + diagonal, lo + start, stop - start, equal, score))
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal", "score"])
+                yield pd.DataFrame(out, columns=["key", "item_id", "doc_start", "item_start", "n_words", "n_equal", "score"])
 
-    both = diagonals.join(items, "item_id").join(hit_texts, "doc_id")
-    return both.mapInPandas(verify, "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long, score double").distinct()
+    both = diagonals.join(items, "item_id").join(hit_texts, "key")
+    return both.mapInPandas(verify, "key string, item_id long, doc_start long, item_start long, n_words long, n_equal long, score double").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any verified overlap, with all their columns; a null doc_id stays."""
-    hit = materialize(overlaps(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(hit.withColumnRenamed("doc_id", "__hit"), docs["doc_id"].cast("long") == F.col("__hit"), "left_anti")
+    """The documents without any verified overlap, with all their columns. Without a doc_id, a document goes by its text."""
+    key, hit = fresh(docs, "key"), fresh(docs, "hit_key")
+    hits = materialize(keyed_overlaps(docs, benchmark).select(F.col("key").alias(hit)).distinct(), "contaminated")
+    return docs.withColumn(key, _key()).join(hits, F.col(key) == F.col(hit), "left_anti").drop(key)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

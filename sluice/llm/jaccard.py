@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import WordHash, components, load, materialize, mix64
+from sluice.llm.common import WordHash, components, fresh, load, materialize, mix64
 
 WORDS = 5
 HOT = 20  # sets that may share a value and still give all their pairs
@@ -475,11 +475,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without their near copies: of each component the smallest doc_id stays, and of rows with that doc_id one.
     Documents with a null doc_id stay. All columns are kept."""
     found = jaccard_components(docs)
-    lost = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct(), "near-copies")
-    kept = docs.join(lost, docs["doc_id"].cast("long") == F.col("__lost"), "left_anti")
+    gone, place = fresh(docs, "lost"), fresh(docs, "place")
+    lost = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "near-copies")
+    kept = docs.join(lost, docs["doc_id"].cast("long") == F.col(gone), "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
         first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text"))
-        kept = kept.withColumn("__k", F.when(F.col("doc_id").isNull(), 1).otherwise(first)).filter("__k = 1").drop("__k")
+        kept = kept.withColumn(place, F.when(F.col("doc_id").isNull(), 1).otherwise(first)).filter(F.col(place) == 1).drop(place)
     return kept
 
 

@@ -87,6 +87,7 @@ _CANDIDATES = {
     "secret": re.compile(r"(?<![A-Za-z0-9_-])(?:[0-9a-f]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,100})(?![A-Za-z0-9_-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[0-9A-Z]{4}){3,7}(?:[\x20]?[0-9A-Z]{1,3})?(?![A-Za-z0-9])"),
 }
+_CAN_START = re.compile(r"[0-9]|[\[(](?:at|AT)[\])]|gh[pousr]_|sk-|A[KS]IA|[a-f]{32}")  # every candidate holds one of these
 _HINT = {
     "phone_local": re.compile(r"(?i)\b(?:tel|telephone|phone|call|fax|mobile|cell|whatsapp|reach)\b"),
     "email_spelled": re.compile(r"(?i)\b(?:mail|e-mail|email|contact|write|reach)\b"),
@@ -152,7 +153,7 @@ def shape(span: str) -> tuple[int, int]:
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Weaker forms outside the base spans, leftmost and non-overlapping per kind."""
-    if not any(c.isdigit() for c in text) and "at" not in text.lower():
+    if not _CAN_START.search(text):
         return []
     out = []
     for kind, pattern in _CANDIDATES.items():

@@ -44,3 +44,26 @@ def test_equal_sets_that_very_many_have(spark, monkeypatch):
     rows = [(i, "the same five words here") for i in range(1_100)] + [(2_000 + i, f"other {i // 2} words stand in here") for i in range(10)]
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(table(spark, rows)).collect()}
     assert all(got[i] == 0 for i in range(1_100)) and all(got[2_000 + i] == 2_000 + i - i % 2 for i in range(10))
+
+
+def test_null_ids_and_clashing_names(spark):
+    """Documents without an id are searched by their text; working names give way to the input's."""
+    from sluice.llm import decontaminate, jaccard
+
+    item = " ".join(f"word{i}" for i in range(30))
+    rows = [(None, f"before {item} after"), (None, "clean words " * 9), (1, item), (2, "other clean words " * 9), (2, "other clean words " * 9), (3, None)]
+    d = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, key int, hit_key int, lost int, place int")
+    bench = spark.createDataFrame([(7, item), (None, "clean words " * 9)], "item_id long, text string")
+    found = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(d, bench).collect()), key=str)
+    assert found == [(1, 7), (None, 7)]
+    left = decontaminate.decontaminate(d, bench)
+    assert left.columns == d.columns and sorted((r["doc_id"] or 0, r["text"] or "") for r in left.collect()) == sorted((i or 0, t or "") for i, t in rows if not (t and "word3" in t))
+    kept = jaccard.keep_one(d)
+    assert kept.columns == d.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 2, 3]
+
+
+def test_keys_of_letters_alone_are_candidates():
+    from sluice.llm import pii
+
+    assert pii.candidates("token ghp_" + "abCD" * 9, []) == [("secret", 6, 46)]
+    assert pii.candidates("AKIA" + "Q" * 16, []) and pii.candidates("f" * 32, []) and pii.candidates("me (at) host.org", []) and not pii.candidates("nothing here at all", [])
