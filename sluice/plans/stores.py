@@ -1,9 +1,10 @@
-"""Queries of the keyed store: what several commits, one of them repeated, leave."""
+"""Queries of the keyed store (what several commits, one of them repeated, leave) and of versions in force."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sluice.operators.asof import as_of
 from sluice.plans.registry import query
 from sluice.sources import upsert
 from sluice.sources.tables import load, new_path
@@ -49,3 +50,21 @@ def sends_claimed(spark, sf_dir):
     seen = F.col("event_type").isin("view", "click")
     claims = [upsert.claim(spark, path, events.filter(of).select("user_id", day), ["user_id", "day"]).withColumn("claimed_by", F.lit(k)) for k, of in ((1, seen), (2, ~seen))]
     return claims[0].unionByName(claims[1])
+
+
+@query("""WITH v AS (SELECT user_id, ts, max(event_id) AS profile FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1, 2)
+ SELECT e.event_id, v.profile FROM events e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts""")
+def profiles_in_force(spark, sf_dir):
+    """The profile that a user's last signup or purchase had activated when each event came."""
+    (events,) = load(spark, sf_dir, "events")
+    active = events.filter(F.col("event_type").isin("signup", "purchase")).select("user_id", "ts", F.col("event_id").alias("profile"))
+    return as_of(events.select("event_id", "user_id", "ts"), active, ["user_id"], "ts", ["profile"]).select("event_id", "profile")
+
+
+@query("""WITH s AS (SELECT event_type, ts, ts AS sent, max(event_id) AS digest FROM events WHERE event_id % 50 = 0 GROUP BY ALL)
+ SELECT e.event_id, s.sent, s.digest FROM events e ASOF LEFT JOIN s ON e.event_type = s.event_type AND e.ts >= s.ts""")
+def watermarks_in_force(spark, sf_dir):
+    """The digest of its list that had gone out last when each event came; a list holds a fifth of all events."""
+    (events,) = load(spark, sf_dir, "events")
+    sends = events.filter("event_id % 50 = 0").select("event_type", "ts", F.col("ts").alias("sent"), F.col("event_id").alias("digest"))
+    return as_of(events.select("event_id", "event_type", "ts"), sends, ["event_type"], "ts", ["sent", "digest"]).select("event_id", "sent", "digest")
