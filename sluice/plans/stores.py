@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sluice.operators import undo
 from sluice.operators.asof import as_of
 from sluice.plans.registry import query
 from sluice.sources import upsert
-from sluice.sources.tables import load, new_path
+from sluice.sources.tables import load, new_path, written
 from sluice.sources.upsert import Rows
 
 
@@ -68,3 +69,30 @@ def watermarks_in_force(spark, sf_dir):
     (events,) = load(spark, sf_dir, "events")
     sends = events.filter("event_id % 50 = 0").select("event_type", "ts", F.col("ts").alias("sent"), F.col("event_id").alias("digest"))
     return as_of(events.select("event_id", "event_type", "ts"), sends, ["event_type"], "ts", ["sent", "digest"]).select("event_id", "sent", "digest")
+
+
+_LINES = "SELECT DISTINCT l_orderkey AS o, l_linenumber AS line FROM lineitem"
+
+
+@query(f"""WITH l AS ({_LINES}), b AS (SELECT o FROM l WHERE line = 1 AND o % 8 = 0)
+ SELECT o * 10 + line AS item, CASE WHEN o % 8 = 0 AND o % 16 <> 0 AND o IN (SELECT o FROM b) THEN CASE WHEN line = 1 THEN o + 2 ELSE o + 1 END ELSE o END AS owner FROM l""")
+def moves_undone(spark, sf_dir):
+    """Every fourth order's lines are merged into the next order, of every eighth the first line is then split off; all merges and
+    every second split are to be undone, and a merge whose line was split off since stays where the split does."""
+    (lines,) = load(spark, sf_dir, "lineitem")
+    o = F.col("l_orderkey")
+    children = lines.select(F.lit("line").alias("kind"), (o * 10 + F.col("l_linenumber")).alias("item"), o.alias("owner")).distinct()
+    orders = children.select(F.col("owner").alias("o")).distinct()
+    merges = orders.filter("o % 4 = 0").select((F.col("o") * 2).alias("entry"), F.col("o").alias("victim"), (F.col("o") + 1).alias("survivor"))
+    splits = orders.filter("o % 8 = 0").select((F.col("o") * 2 + 1).alias("entry"), F.lit("line").alias("kind"), (F.col("o") * 10 + 1).alias("item"), (F.col("o") + 2).alias("new"))
+    first = undo.merge_moves(children, merges)
+    merged = undo.apply_moves(children, first)
+    moves = written(first.unionByName(undo.split_moves(merged, splits)), "moves")
+    now = F.lit("2026-09-30").cast("timestamp")
+    log = merges.select("entry").unionByName(splits.select("entry")).select("entry", F.col("entry").alias("seq"), now.alias("created_at"), F.lit(False).alias("undone"))
+    snapshots = spark.createDataFrame([], "entry long, opp_id long, before string")
+    asked = merges.select("entry").unionByName(splits.filter("floor(entry / 2) % 16 = 0").select("entry"))
+    verdicts = undo.judged(log, moves, snapshots, asked, now)
+    records = spark.createDataFrame([], "opp_id long, record string")
+    home, _, _ = undo.undone(undo.apply_moves(merged, moves.filter("entry % 2 = 1")), records, log, moves, snapshots, verdicts)
+    return home.select("item", "owner")
