@@ -61,7 +61,23 @@ def content_hash(subject: Column, body: Column, attachments: Column | None = Non
     return F.sha2(F.concat_ws("\n", F.lower(subject), body, files), 256)
 
 
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}  # the last one last
+_ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
+def unescape(c: Column) -> Column:
+    """Named entities of _ENTITIES and numeric ones in one pass, so that what an entity gives isn't read again; others stay."""
+    parts = F.split(c, "&")
+
+    def resolved(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[a-z]{2,4});", 1)
+        code = F.when(name.rlike("^#[0-9]"), F.substring(name, 2, 7).try_cast("long")).when(name.rlike("^#"), F.conv(F.substring(name, 3, 6), 16, 10).try_cast("long"))
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        for k, v in _ENTITIES.items():
+            char = F.when(name == k, v).otherwise(char)
+        return F.coalesce(F.concat(char, p.substr(F.length(name) + 2, F.length(p))), F.concat(F.lit("&"), p))
+
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), resolved), ""))
 
 
 def html_to_text(c: Column) -> Column:
@@ -75,8 +91,7 @@ def html_to_text(c: Column) -> Column:
         (r"(?s)<[^>]+>", ""),
     ):
         c = F.regexp_replace(c, pattern, to)
-    for entity, to in _ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(to))
+    c = unescape(c)
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \x0B\f\r]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.operators import undo
+from sluice.operators.accounts import accounts_in_names
 from sluice.operators.asof import as_of
 from sluice.plans.registry import query
 from sluice.sources import upsert
@@ -96,3 +97,10 @@ def moves_undone(spark, sf_dir):
     records = spark.createDataFrame([], "opp_id long, record string")
     home, _, _ = undo.undone(undo.apply_moves(merged, moves.filter("entry % 2 = 1")), records, log, moves, snapshots, verdicts)
     return home.select("item", "owner")
+
+
+@query("SELECT c_custkey AS id, p_partkey AS account FROM customer JOIN part ON contains(lower(c_name), '00' || p_partkey)")
+def accounts_in_owner_names(spark, sf_dir):
+    """Every part's number behind two zeros, as a phrase, in the names of all customers."""
+    customer, part = load(spark, sf_dir, "customer", "part")
+    return accounts_in_names(customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), part.select(F.col("p_partkey").alias("account"), F.concat(F.lit("00"), F.col("p_partkey").cast("string")).alias("phrase")))

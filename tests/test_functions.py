@@ -140,3 +140,10 @@ def test_ratios_of_many_pairs():
     assert similarity.indel_ratios(a, b, rows=100).tolist() == [similarity.indel_ratio(x, y) for x, y in zip(a, b)]
     want = [max(similarity.token_set_ratio(x, y), similarity.indel_ratio(x, y)) if x and y else 0.0 for x, y in zip(a, b)]
     assert similarity._of_known(pd.Series(a), pd.Series(b), similarity._name_ratios).tolist() == pytest.approx(want)
+
+
+@pytest.mark.parametrize("html, want", [
+    ("a &amp; b", "a & b"), ("&#65;&#x42;&#X1F642;", "AB\U0001F642"), ("&amp;#39;", "&#39;"), ("&#38;lt;", "&lt;"), ("&#0;&#xD800;&#1114112; & &unknown; &", "&#0;&#xD800;&#1114112; & &unknown; &"), ("", ""), ("&lt;&gt;&quot;&apos;&nbsp;x", "<>\"' x"),
+])
+def test_entities_in_one_pass(spark, html, want):
+    assert one(spark, text.unescape(F.lit(html))) == want
