@@ -60,6 +60,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Hand freed memory back to the machine: a Python worker serves one stage after the other, and each starts with what the last one kept."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def write_bytes(uri: str, data: bytes) -> None:
     """Write one file whole: under a name of its own first, then moved, so a repeated or parallel attempt does no harm."""
     from pyarrow import fs as pafs

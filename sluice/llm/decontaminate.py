@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import WordHash, fresh, load, materialize, mix64
+from sluice.llm.common import WordHash, fresh, give_back, load, materialize, mix64
 
 # Fixed masks of weight 6: 1 counts, 0 is ignored. Each leaves out a residue of 3, 4, 5 or 6, so one of them fits between changes that recur so often.
 MASKS = ("111111", "1111011", "1110111", "11011011")
@@ -148,6 +148,7 @@ def keyed_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = sorted(r["short"] for r in index.filter("short > 0").select("short").distinct().collect())  # WINDOW - SHORT rows at most
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         hashes, bitmap = WordHash(bare), bits.value
         for batch in batches:
             found = []

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import load, materialize
+from sluice.llm.common import give_back, load, materialize
 from sluice.llm.tokens import END_ID, encode_slices, encoder
 
 CAPACITY = 1024
@@ -30,11 +30,12 @@ PIECES = 150_000  # pieces of text whose ids a worker keeps
 PER_LENGTH = 12  # patterns of three that start with a length, and as many of four
 
 
-def piece_rows(docs: DataFrame, path: str, *, kind: str = "byte", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def piece_rows(docs: DataFrame, path: str, *, kind: str = "byte", capacity: int = CAPACITY, end_id: int = END_ID, most: int = PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: a document's ids cut from its end, so only the first piece can be short."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(path, kind, PIECES), struct.pack("<I", end_id)
+        give_back()
+        enc, end = encoder(path, kind, most), struct.pack("<I", end_id)
         for batch in batches:
             owners = batch["doc_id"].tolist()
             rows = []
@@ -157,8 +158,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    return pack(materialize(piece_rows(docs, path, capacity=capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, most: int = PIECES) -> DataFrame:
+    """most: pieces of text whose ids a worker keeps."""
+    return pack(materialize(piece_rows(docs, path, capacity=capacity, most=most), "pieces"), capacity)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import load
+from sluice.llm.common import give_back, load
 
 KINDS = ["email", "ip", "card", "phone"]  # in this order among spans that start together
 MORE = ["phone_local", "email_spelled", "secret", "iban"]
@@ -229,6 +229,7 @@ def vote_counts(docs: DataFrame) -> dict[tuple[str, tuple[int, ...], tuple[int,
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
+        give_back()
         for batch in batches:
             for text in batch["text"]:
                 for kind, a, b in candidates(text, base_spans(text)):
