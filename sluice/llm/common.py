@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -72,6 +73,19 @@ def give_back() -> None:
         trim(0)
 
 
+def lean(task):
+    """A task over batches that hands freed memory back before it begins and once it has ended, so neither the next stage's task
+    nor a worker that waits holds it."""
+
+    @functools.wraps(task)
+    def run(batches):
+        give_back()
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 def write_bytes(uri: str, data: bytes) -> None:
     """Write one file whole: under a name of its own first, then moved, so a repeated or parallel attempt does no harm."""
     from pyarrow import fs as pafs

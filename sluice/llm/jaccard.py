@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import WordHash, components, fresh, load, materialize, mix64
+from sluice.llm.common import WordHash, components, fresh, lean, load, materialize, mix64
 
 WORDS = 5
 HOT = 20  # sets that may share a value and still give all their pairs
@@ -267,8 +267,8 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
                 members = docs[at[k : k + _PAIRS // len(i), None] + np.arange(g)]
                 yield from send(_pairs("r", members[:, i].ravel(), members[:, j].ravel()))
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, f"{_KEYS}, {_OUT}")
-    return materialize(dealt.repartition(partitions, "bucket").mapInArrow(meet, _OUT), "jaccard-sketches")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(sketch), f"{_KEYS}, {_OUT}")
+    return materialize(dealt.repartition(partitions, "bucket").mapInArrow(lean(meet), _OUT), "jaccard-sketches")
 
 
 def _close(pairs: DataFrame, meta: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def _close(pairs: DataFrame, meta: DataFrame) -> DataFrame:
             ok = [hamming(x, y) <= d for x, y, d in zip(batch["s_a"], batch["s_b"], most)]
             yield batch.loc[ok, ["a", "b"]]
 
-    return sized.mapInPandas(test, "a long, b long").distinct()
+    return sized.mapInPandas(lean(test), "a long, b long").distinct()
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield batch.loc[ok, ["a", "b"]]
 
     t = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    return pairs.join(t("b"), "b").join(t("a"), "a").select("a", "b", "text_a", "text_b").mapInPandas(test, "a long, b long").distinct()
+    return pairs.join(t("b"), "b").join(t("a"), "a").select("a", "b", "text_a", "text_b").mapInPandas(lean(test), "a long, b long").distinct()
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -327,7 +327,7 @@ def _leftover_links(left: DataFrame, docs: DataFrame, labels: DataFrame, meta: D
                 s = shingle_set(words_of(text), hashes).view(np.int64)
                 yield pd.DataFrame({"doc_id": doc, "n": len(s), "token": s})
 
-    tokens = texts.mapInPandas(explode, "doc_id long, n long, token long")
+    tokens = texts.mapInPandas(lean(explode), "doc_id long, n long, token long")
     first = materialize(_ranked(tokens, []).filter("k <= n - ceil(0.8 * n) + 1 and df > 1").select("doc_id", "n", "token", "k"), "jaccard-prefix")
     root = _roots(first)
     to_root = root.filter("doc_id <> root").select(F.least("doc_id", "root").alias("a"), F.greatest("doc_id", "root").alias("b")).distinct()
@@ -401,7 +401,7 @@ def _pairs_of_root(labels: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": doc, "root": of, "n": len(s), "m": len(more) + len(less), "token": np.concatenate((more, less)).view(np.int64)})
 
     both = labels.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("root"), F.col("text").alias("root_text")), "root")
-    tokens = both.select("doc_id", "root", "text", "root_text").mapInPandas(explode, "doc_id long, root long, n long, m long, token long")
+    tokens = both.select("doc_id", "root", "text", "root_text").mapInPandas(lean(explode), "doc_id long, root long, n long, m long, token long")
     # the least common count for a partner that differs from the root in nothing: no prefix is longer
     rows = _ranked(tokens, ["root"]).filter("df > 1 and k <= m - greatest(1, (m - (n + 5 * n div 4) div 9 + 1) div 2) + 1")
     rows = _mixed(rows.join(labels.select("doc_id", "component"), "doc_id").select("root", "token", "doc_id", "component", "n", "m", "k"), ["root", "token"])

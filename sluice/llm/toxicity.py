@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import load
+from sluice.llm.common import lean, load
 
 FIT_ROWS = 20_000
 LEXICON = 4_000  # entries kept, the strongest first
@@ -270,7 +270,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
             yield pd.DataFrame(out, columns=["f1", "f2", "label", "units"])
 
     seed = dict.fromkeys(INSULTS.split(), 0.8)
-    one = sample.mapInPandas(parts, "f1 long, f2 long, label int, units array<string>").groupBy("f1", "f2").agg(F.max_by("units", F.struct("label", F.size("units"))).alias("units"), F.max("label").alias("label"))
+    one = sample.mapInPandas(lean(parts), "f1 long, f2 long, label int, units array<string>").groupBy("f1", "f2").agg(F.max_by("units", F.struct("label", F.size("units"))).alias("units"), F.max("label").alias("label"))
     totals = one.groupBy("label").count().collect()
     n = {r["label"]: r["count"] for r in totals}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -307,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Gramm
         for batch in batches:
             yield pd.DataFrame({"x": [features(grammar, t) for t in batch["text"]], "label": batch["label"]})
 
-    got = sample.mapInPandas(run, "x array<double>, label int").toPandas()  # `rows` rows at most
+    got = sample.mapInPandas(lean(run), "x array<double>, label int").toPandas()  # `rows` rows at most
     y = got["label"].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 2.0)
@@ -319,9 +319,11 @@ def scorer(grammar: Grammar, weights: np.ndarray):
     """A column function: the probability that a text is toxic."""
 
     @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        z = np.array([features(grammar, t) for t in texts]).reshape(-1, FEATURES) @ weights
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    @lean
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            z = np.array([features(grammar, t) for t in texts]).reshape(-1, FEATURES) @ weights
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return run
 
