@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+KEPT: dict = {}  # what a Python worker's tasks keep for later tasks of their kind
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,11 +76,14 @@ def give_back() -> None:
 
 
 def lean(task):
-    """A task over batches that hands freed memory back before it begins and once it has ended, so neither the next stage's task
-    nor a worker that waits holds it."""
+    """A task over batches that needs nothing of what is kept: it lets that go and hands freed memory back before it begins, and
+    hands its own back once it has ended, so neither the next stage's task nor a worker that waits holds it."""
 
     @functools.wraps(task)
     def run(batches):
+        if KEPT:
+            KEPT.clear()
+            gc.collect()
         give_back()
         yield from task(batches)
         give_back()

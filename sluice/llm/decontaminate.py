@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import WordHash, fresh, give_back, load, materialize, mix64
+from sluice.llm.common import WordHash, fresh, lean, load, materialize, mix64
 
 # Fixed masks of weight 6: 1 counts, 0 is ignored. Each leaves out a residue of 3, 4, 5 or 6, so one of them fits between changes that recur so often.
 MASKS = ("111111", "1111011", "1110111", "11011011")
@@ -105,7 +105,7 @@ def seed_index(benchmark: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"hash": h.view(np.int64), "item_id": int(item), "place": np.arange(len(h)), "short": len(w) if len(w) < WINDOW else 0})
 
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return materialize(items.mapInPandas(index, "hash long, item_id long, place long, short int"), "seed-index")
+    return materialize(items.mapInPandas(lean(index), "hash long, item_id long, place long, short int"), "seed-index")
 
 
 def bloom(index: DataFrame, seeds_in_all: int) -> np.ndarray:
@@ -148,7 +148,6 @@ def keyed_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = sorted(r["short"] for r in index.filter("short > 0").select("short").distinct().collect())  # WINDOW - SHORT rows at most
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        give_back()
         hashes, bitmap = WordHash(bare), bits.value
         for batch in batches:
             found = []
@@ -161,7 +160,7 @@ def keyed_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if found:
                 yield pd.concat(found)
 
-    hits = texts.mapInPandas(search, "key string, hash long, at long")
+    hits = texts.mapInPandas(lean(search), "key string, hash long, at long")
     small = rows <= INDEX_ROWS
     diagonals = hits.join(F.broadcast(index) if small else index, "hash").select("key", "item_id", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
     diagonals = materialize(diagonals, "diagonals")
@@ -184,7 +183,7 @@ def keyed_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pd.DataFrame(out, columns=["key", "item_id", "doc_start", "item_start", "n_words", "n_equal", "score"])
 
     both = diagonals.join(items, "item_id").join(hit_texts, "key")
-    return both.mapInPandas(verify, "key string, item_id long, doc_start long, item_start long, n_words long, n_equal long, score double").distinct()
+    return both.mapInPandas(lean(verify), "key string, item_id long, doc_start long, item_start long, n_words long, n_equal long, score double").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import give_back, load
+from sluice.llm.common import lean, load
 
 KINDS = ["email", "ip", "card", "phone"]  # in this order among spans that start together
 MORE = ["phone_local", "email_spelled", "secret", "iban"]
@@ -229,7 +229,6 @@ def vote_counts(docs: DataFrame) -> dict[tuple[str, tuple[int, ...], tuple[int,
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
-        give_back()
         for batch in batches:
             for text in batch["text"]:
                 for kind, a, b in candidates(text, base_spans(text)):
@@ -238,7 +237,7 @@ def vote_counts(docs: DataFrame) -> dict[tuple[str, tuple[int, ...], tuple[int,
 
     # only texts in which a candidate can occur need Python
     some = docs.select("text").filter(F.col("text").rlike(r"[0-9]{3}[ .)-][ .-]?[0-9]{3}|[0-9a-f]{32}|AKIA|ASIA|gh[pousr]_|sk-|[A-Z]{2}[0-9]{2}|[\[(](at|AT)[\])]"))
-    rows = some.mapInPandas(count, f"kind string, {', '.join(f'{k} int' for k in keys)}, n long").groupBy("kind", *keys).agg(F.sum("n").alias("n")).collect()
+    rows = some.mapInPandas(lean(count), f"kind string, {', '.join(f'{k} int' for k in keys)}, n long").groupBy("kind", *keys).agg(F.sum("n").alias("n")).collect()
     return {(r["kind"], tuple(r[k] for k in keys[:LABELERS]), (r["s0"], r["s1"])): r["n"] for r in rows}
 
 
@@ -268,7 +267,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
             both = [all_spans(t, weights, threshold) for t in batch["text"]]
             yield batch.assign(base_spans=[joined(b) for b, _ in both], spans=[joined(s) for _, s in both])
 
-    return texts.mapInPandas(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, base_spans string, spans string")
+    return texts.mapInPandas(lean(find), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, base_spans string, spans string")
 
 
 def mask(text: str | None, spans: str) -> str | None:
@@ -290,8 +289,10 @@ def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     weights = span_classifier(vote_counts(docs.select(F.coalesce("text", F.lit("")).alias("text"))))
 
     @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else mask(t, joined(all_spans(t, weights, threshold)[1])) for t in texts], dtype=object)
+    @lean
+    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([None if t is None else mask(t, joined(all_spans(t, weights, threshold)[1])) for t in texts], dtype=object)
 
     out = docs.withColumn("text", masked("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -12,6 +12,8 @@ import struct
 
 import numpy as np
 
+from sluice.llm.common import KEPT
+
 _TWO_SPACES = re.compile(r"\s\s")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -132,14 +134,13 @@ class PieceEncoder:
         return out
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(path: str, kind: str, most: int = 400_000) -> PieceEncoder:
-    """One for each Python worker; later tasks of the worker find its words. `most` pieces, and as many older ones, are kept."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = PieceEncoder(path, kind, most)
-    return _ENCODERS[path, kind]
+    """One for each Python worker, until a task of another kind lets it go; later tasks of the worker find its words. `most` pieces, and
+    as many older ones, are kept."""
+    key = ("encoder", path, kind)
+    if key not in KEPT:
+        KEPT[key] = PieceEncoder(path, kind, most)
+    return KEPT[key]
 
 
 def encode_slices(texts: list, enc: PieceEncoder, most_chars: int = 1_000_000):
