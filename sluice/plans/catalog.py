@@ -620,4 +620,4 @@ def apply_actions(spark, sf_dir):
     return after.join(done, "id", "left").select("id", "status", "assignee", F.size("locked").alias("locked"), "actions", "applied")
 
 
-from sluice.plans import digests, lookups, rules, stores, updates  # noqa: E402, F401  they register their queries
+from sluice.plans import digests, lookups, rules, spans, stores, updates  # noqa: E402, F401  they register their queries
