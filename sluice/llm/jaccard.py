@@ -13,7 +13,8 @@ than d non-empty parts shares one with each of its partners (pigeonhole). Parts
   difference; then the shingles of both texts decide.
 * Hot values whose members are one component by then lose nothing. A set whose other parts don't exceed d, because of hot
   values of several components, is left over; left-over sets meet by a prefix join on their rarest shingles instead and,
-  in groups of near copies, on their differences from one of them.
+  in groups of near copies, on their differences from one of them. Those that share such a key meet its pivot first; only
+  sets of components that this leaves apart meet in pairs, so a group whose members all link doesn't take all its pairs.
 
 Edge cases: null, empty and white texts have the empty set and link with nothing; fewer than five words are one shingle; equal
 texts and equal sets link; rows with equal doc_id are one node; a null doc_id links with nothing and has a null component; an
@@ -313,8 +314,9 @@ def _leftover_links(left: DataFrame, docs: DataFrame, labels: DataFrame, meta: D
     """Links between left-over documents of different components: a prefix join on their shingles, rarest first.
 
     Documents that share many of their rare shingles have one of them as their root, and all are compared with it first. Pairs
-    with the same root then meet by their differences from it, pairs with different roots by their shingles. So a large group of
-    near copies takes one pair a document, and pairs of those that differ from its root in the same places.
+    with the same root then meet by their differences from it, pairs with different roots by their shingles. Of each such key all
+    documents meet one first, and only those of components that are then apart meet in pairs. So documents that link with a root or
+    a pivot take a few pairs each; those that share keys, but link with neither, still meet in pairs.
     """
     ids = materialize(left.select("doc_id").distinct(), "jaccard-left")
     texts = _texts(docs, ids)
@@ -336,8 +338,11 @@ def _leftover_links(left: DataFrame, docs: DataFrame, labels: DataFrame, meta: D
     of = _joined(root, links).join(labels, "doc_id").join(labels.select(F.col("doc_id").alias("root"), F.col("component").alias("to")), "root")
     of = of.filter("component <> to").groupBy("component").agg(F.min("to").alias("to"))
     now = root.join(labels, "doc_id").join(of, "component", "left").select("doc_id", "root", F.coalesce("to", "component").alias("component"))
-    now = materialize(now, "jaccard-labels")
-    pairs = _pairs_of_roots(first, now).unionByName(_pairs_of_root(now, texts)).distinct()
+    now, apart = materialize(now, "jaccard-labels"), _differences(root, texts)
+    met = _stars(first, ["token"], now).unionByName(_stars(apart, ["root", "token"], now)).distinct()
+    new = materialize(_linked(_close(met, meta), texts), "jaccard-links")
+    links, now = links.unionByName(new), _merged(now, new)
+    pairs = _pairs_of_roots(first, now).unionByName(_pairs_of_root(apart, now)).distinct()
     return links.unionByName(_linked(_close(pairs, meta), texts))
 
 
@@ -347,6 +352,28 @@ def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
     return root.join(both, ["doc_id", "root"], "left_semi")
 
 
+def _between(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): the components that links join, each pair once."""
+    c = lambda x: labels.select(F.col("doc_id").alias(x), F.col("component").alias(f"c_{x}"))
+    both = links.join(c("a"), "a").join(c("b"), "b").filter("c_a <> c_b")
+    return both.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels once these links count, too, written; all columns stay."""
+    to = components(_between(labels, links)).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    now = labels.join(to, "component", "left").withColumn("component", F.coalesce("to", "component"))
+    return materialize(now.select(*labels.columns), "jaccard-labels")
+
+
+def _stars(rows: DataFrame, key: list[str], labels: DataFrame) -> DataFrame:
+    """Of each key its documents with one of them, where their components differ."""
+    rows = rows.select(*key, "doc_id").join(labels.select("doc_id", "component"), "doc_id")
+    pivots = rows.groupBy(*key).agg(F.min_by(F.struct(F.col("doc_id").alias("p"), F.col("component").alias("c")), F.xxhash64("doc_id")).alias("of"))
+    met = rows.join(pivots, key).filter("component <> of.c")
+    return met.select(F.least("doc_id", "of.p").alias("a"), F.greatest("doc_id", "of.p").alias("b")).distinct()
+
+
 def _ranked(tokens: DataFrame, within: list[str]) -> DataFrame:
     """Adds df, in how many documents (of the same `within`) a token is, and k, its place among its document's, rarest first."""
     tokens = materialize(tokens, "jaccard-tokens")
@@ -383,14 +410,8 @@ def _roots(first: DataFrame) -> DataFrame:
     return materialize(root, "jaccard-roots")
 
 
-def _pairs_of_root(labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of different components with the same root r that may link, when all links with roots are known.
-
-    A and B of n and m shingles differ in |A r| + |B r| - 2 |A r n B r|, with X r the difference of X and r. They link if that
-    is (n + m) / 9 at most; so without a common element of A r and B r both link with r and are one component already. Others
-    meet by a prefix join on these differences, rarest first, in which the many shingles that a group of copies has in common
-    don't occur.
-    """
+def _differences(root: DataFrame, texts: DataFrame) -> DataFrame:
+    """Prefixes of the documents' differences from their roots, rarest first: the shingles that one of both has, written."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHash()
@@ -400,11 +421,22 @@ def _pairs_of_root(labels: DataFrame, texts: DataFrame) -> DataFrame:
                 more, less = np.setdiff1d(s, t, assume_unique=True), mix64(np.setdiff1d(t, s, assume_unique=True) ^ np.uint64(1))
                 yield pd.DataFrame({"doc_id": doc, "root": of, "n": len(s), "m": len(more) + len(less), "token": np.concatenate((more, less)).view(np.int64)})
 
-    both = labels.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("root"), F.col("text").alias("root_text")), "root")
+    both = root.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("root"), F.col("text").alias("root_text")), "root")
     tokens = both.select("doc_id", "root", "text", "root_text").mapInPandas(lean(explode), "doc_id long, root long, n long, m long, token long")
     # the least common count for a partner that differs from the root in nothing: no prefix is longer
     rows = _ranked(tokens, ["root"]).filter("df > 1 and k <= m - greatest(1, (m - (n + 5 * n div 4) div 9 + 1) div 2) + 1")
-    rows = _mixed(rows.join(labels.select("doc_id", "component"), "doc_id").select("root", "token", "doc_id", "component", "n", "m", "k"), ["root", "token"])
+    return materialize(rows.select("root", "token", "doc_id", "n", "m", "k"), "jaccard-differences")
+
+
+def _pairs_of_root(apart: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components with the same root r that may link, when all links with roots are known.
+
+    A and B of n and m shingles differ in |A r| + |B r| - 2 |A r n B r|, with X r the difference of X and r. They link if that
+    is (n + m) / 9 at most; so without a common element of A r and B r both link with r and are one component already. Others
+    meet by a prefix join on these differences, rarest first, in which the many shingles that a group of copies has in common
+    don't occur.
+    """
+    rows = _mixed(apart.join(labels.select("doc_id", "component"), "doc_id"), ["root", "token"])
     side = lambda x: rows.select("root", "token", F.col("doc_id").alias(x), *[F.col(c).alias(f"{v}{x}") for c, v in (("component", "c"), ("n", "n"), ("m", "m"), ("k", "k"), ("prefix", "p"))])
     least = "(ma + mb - (na + nb) div 9 + 1) div 2"  # elements that both differences must have
     meet = f"a < b and ca <> cb and ka <= ma - {least} + 1 and kb <= mb - {least} + 1 and element_at(array_intersect(pa, pb), 1) = x.token"
@@ -462,9 +494,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     if left.limit(1).count():
         more = more.unionByName(_leftover_links(left, docs, labels, meta))
     more = materialize(more, "jaccard-links")
-    final = labels
-    if more.limit(1).count():
-        final = labelled(components(links.unionByName(more)))
+    final = _merged(labels, more) if more.limit(1).count() else labels
     return (
         of("m").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
         .join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
