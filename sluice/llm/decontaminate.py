@@ -34,29 +34,37 @@ SPAN, EQUAL = 0.8, 2 / 3
 MISS = 1.0
 BLOOM_BITS = (1 << 23, 1 << 28)  # of the bitmap at least and at most; SPARSE bits a seed between
 SPARSE = 16
+CHUNK = 32_768  # words of documents that are hashed in one array; a longer text is one
 INDEX_ROWS = 1_000_000  # seeds up to which the index is broadcast; beyond it the join shuffles
 _MARKS = re.compile(r"[^\w]+")
 _P = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(64)]
 
 
 def bare(word: bytes) -> bytes:
+    if word.isalnum():  # ASCII letters and digits alone
+        return word.lower()
     return _MARKS.sub("", word.decode("utf-8", "surrogatepass").lower()).encode("utf-8", "surrogatepass")
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def word_array(text: str | None, hashes: WordHash) -> np.ndarray:
     """Hashes of the words that aren't marks alone."""
-    w = hashes.array((text or "").encode("utf-8", "surrogatepass").lower().split())
+    w = hashes.array(words_of(text))
     return w[w != 0]
 
 
 def seeds(w: np.ndarray) -> Iterator[np.ndarray]:
     """Of each mask the hash of the picked words at each place."""
+    times = [w * p for p in _P[: max(mask.count("1") for mask in MASKS)]]
     for m, mask in enumerate(MASKS):
         n = len(w) - len(mask) + 1
         if n > 0:
             h = np.full(n, np.uint64(m + 1))
             for k, picked in enumerate(i for i, c in enumerate(mask) if c == "1"):
-                h = h + w[picked : picked + n] * _P[k]
+                h += times[k][picked : picked + n]
             yield mix64(h)
 
 
@@ -120,11 +128,30 @@ def bloom(index: DataFrame, seeds_in_all: int) -> np.ndarray:
 
 
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    m = np.uint64(64 * len(bits) - 1)
-    hit = np.ones(len(h), bool)
-    for spot in (h & m, (h >> np.uint64(32)) & m):
-        hit &= (bits[(spot >> np.uint64(6)).astype(np.intp)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
-    return hit
+    """Places in h of the hashes that pass the bitmap."""
+    at, m = np.arange(len(h)), np.uint64(64 * len(bits) - 1)
+    for shift in (np.uint64(0), np.uint64(32)):  # few pass the first
+        spot = (h[at] >> shift if shift else h) & m
+        at = at[(bits[(spot >> np.uint64(6)).view(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1]
+    return at
+
+
+def candidates(bits: np.ndarray, words: list[list[bytes]], short: list[int], hashes: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which of the documents, hash, place in it) of the seeds that pass the bitmap. All documents lie in one array, behind one
+    another; a seed that reaches beyond its document doesn't count."""
+    w = hashes.array(list(itertools.chain.from_iterable(words)))
+    kept = np.concatenate(([0], np.cumsum(w != 0)))  # marks alone don't count
+    ends = kept[np.cumsum([len(x) for x in words])]
+    starts, w = np.concatenate(([0], ends[:-1])), w[w != 0]
+    found = []
+    for span, h in itertools.chain(zip(map(len, MASKS), seeds(w)), zip(short, whole_seeds(w, short))):
+        at = _in(bits, h)
+        doc = np.searchsorted(ends, at, "right")
+        inside = at + span <= ends[doc]
+        at, doc = at[inside], doc[inside]
+        found.append((doc, h[at].view(np.int64), at - starts[doc]))
+    none = np.empty(0, np.int64)
+    return tuple(map(np.concatenate, zip((none,) * 3, *found)))
 
 
 def _key() -> Column:
@@ -150,15 +177,17 @@ def keyed_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, bitmap = WordHash(bare), bits.value
         for batch in batches:
-            found = []
-            for key, text in zip(batch["key"].tolist(), batch["text"].tolist()):
-                w = word_array(text, hashes)
-                for h in itertools.chain(seeds(w), whole_seeds(w, short)):
-                    at = np.flatnonzero(_in(bitmap, h))
-                    if len(at):
-                        found.append(pd.DataFrame({"key": key, "hash": h[at].view(np.int64), "at": at}))
-            if found:
-                yield pd.concat(found)
+            keys, words, size = [], [], 0
+            for key, text in zip(itertools.chain(batch["key"].tolist(), [None]), itertools.chain(batch["text"].tolist(), [None])):
+                if key is None or size >= CHUNK:
+                    if words:
+                        doc, h, at = candidates(bitmap, words, short, hashes)
+                        yield pd.DataFrame({"key": np.array(keys, object)[doc], "hash": h, "at": at})
+                    keys, words, size = [], [], 0
+                if key is not None:
+                    keys.append(key)
+                    words.append(words_of(text))
+                    size += len(words[-1])
 
     hits = texts.mapInPandas(lean(search), "key string, hash long, at long")
     small = rows <= INDEX_ROWS
