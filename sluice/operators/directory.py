@@ -9,6 +9,7 @@ from sluice.functions import constants as K
 from sluice.functions.similarity import edit_ratio
 from sluice.functions.text import normalize_domain, organisation, organisation_core, organisation_squashed
 from sluice.operators.prefix import candidates, ratio_sql, text_grams
+from sluice.sources.tables import written
 
 
 def read_seed(spark: SparkSession, path: str) -> DataFrame:
@@ -39,24 +40,36 @@ def by_domain(messages: DataFrame, domains: DataFrame) -> DataFrame:
     return d.join(known, "domain").groupBy("message_id").agg(F.min("gc_id").alias("gc_id"))
 
 
+BLOCKS = 16  # into which the ids of one name are dealt
+
+
 def similar_names(left: DataFrame, right: DataFrame, least: float = 0.9) -> DataFrame:
-    """(left_id, right_id, ratio) of names whose edit ratio, or that of their cores, reaches `least`: exact candidates by rare
-    trigrams of either form, then the ratio."""
+    """(left_id, right_id, ratio) of names whose edit ratio, or that of their cores, reaches `least`; rows without an id have none.
+
+    Each distinct name is compared once: exact candidates by rare trigrams of either form, then the ratio. The ids of each two
+    names that are alike meet as blocks, dealt out evenly and multiplied out last. No side is broadcast by what its files weigh.
+    """
     forms = {"name": organisation, "core": organisation_core}
-    side = lambda d, s: d.select(F.col("id").alias(f"{s}_id"), *[f(F.col("name")).alias(f"{s}_{k}") for k, f in forms.items()])
+    side = lambda d, s: d.filter("id is not null").select(F.col("id").alias(f"{s}_id"), *[f(F.col("name")).alias(f"{s}_{k}") for k, f in forms.items()])
     a, b = side(left, "left"), side(right, "right")
-    grams = lambda d, s, x, k: d.select(F.col(f"{s}_id").alias(x), text_grams(F.col(f"{s}_{k}")).alias("grams"))
-    # ids of both sides may be equal, and candidates() leaves pairs of equal ids to one side alone
-    mark = lambda d, x: d.withColumn(x, F.concat(F.lit(f"{x}:"), F.col(x).cast("string")))
+    # written, as a filter on their grams would else be pushed down to every row
+    apart = lambda d, s: written(d.select(f"{s}_name", f"{s}_core").distinct(), "names")
+    names = {"left": apart(a, "left"), "right": apart(b, "right")}
+    # candidates() leaves pairs of equal ids to one side alone
+    grams = lambda s, x, k: names[s].select(F.concat(F.lit(f"{x}:"), F.col(f"{s}_name")).alias(x), text_grams(F.col(f"{s}_{k}")).alias("grams"))
     found = None
     for k in forms:
-        pairs = candidates(mark(grams(a, "left", "a", k), "a"), mark(grams(b, "right", "b", k), "b"), *ratio_sql(least))
+        pairs = candidates(grams("left", "a", k), grams("right", "b", k), *ratio_sql(least))
         found = pairs if found is None else found.unionByName(pairs)
-    types = {s: dict(d.dtypes)[f"{s}_id"] for d, s in ((a, "left"), (b, "right"))}
-    pairs = found.distinct().select(F.substring("a", 3, 1 << 30).cast(types["left"]).alias("left_id"), F.substring("b", 3, 1 << 30).cast(types["right"]).alias("right_id"))
-    both = pairs.join(a, "left_id").join(b, "right_id")
+    pairs = found.distinct().select(F.substring("a", 3, 1 << 30).alias("left_name"), F.substring("b", 3, 1 << 30).alias("right_name"))
+    both = pairs.join(names["left"].hint("merge"), "left_name").join(names["right"].hint("merge"), "right_name")
     ratio = F.greatest(edit_ratio("left_name", "right_name"), edit_ratio("left_core", "right_core"))
-    return both.select("left_id", "right_id", ratio.alias("ratio")).filter(F.col("ratio") >= least)
+    alike = both.select("left_name", "right_name", ratio.alias("ratio")).filter(F.col("ratio") >= least)
+    blocks = lambda d, s: d.groupBy(f"{s}_name", F.pmod(F.xxhash64(f"{s}_id"), F.lit(BLOCKS)).alias(f"{s}_block")).agg(F.collect_list(f"{s}_id").alias(f"{s}_ids")).hint("merge")
+    met = alike.join(blocks(a, "left"), "left_name").join(blocks(b, "right"), "right_name")
+    # a number is given, as partitions of few bytes would be joined that multiply out to many rows
+    dealt = met.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "left_name", "right_name", "left_block", "right_block")
+    return dealt.select(F.explode("left_ids").alias("left_id"), "right_ids", "ratio").select("left_id", F.explode("right_ids").alias("right_id"), "ratio")
 
 
 def resolve(messages: DataFrame, directory: DataFrame, domains: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -261,3 +261,15 @@ def test_messages_are_shuffled_and_folded_once(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapIn") == 1 and plan.count("Exchange") == 1
+
+
+def test_copies_of_names_are_compared_once(spark, monkeypatch):
+    """40,000 pairs of ids from two distinct names on either side: the join on grams sees the names, not the ids."""
+    seen, joined = [], directory.candidates
+    monkeypatch.setattr(directory, "candidates", lambda a, b, *how: seen.append((a.count(), b.count())) or joined(a, b, *how))
+    side = lambda n, *names: spark.range(n).select("id", F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 2 + 1).cast("int")).alias("name"))
+    got = directory.similar_names(side(200, "Hot Bolt, Inc.", "Ring Works"), side(400, "hot bolt", "ring works LLC")).cache()
+    assert got.count() == got.distinct().count() == 40_000 and seen == [(2, 2), (2, 2)]
+    assert got.filter("left_id % 2 <> right_id % 2 or ratio <> 1").isEmpty()
+    odd = spark.createDataFrame([(None, "hot bolt"), (1, None), (2, "")], "id long, name string")
+    assert directory.similar_names(odd, odd).count() == 0
